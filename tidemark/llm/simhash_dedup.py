@@ -45,15 +45,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (a signed long) of every row. Null text: no words, 0."""
+    """doc_id, kt (common.document_key), fp (a signed long) of every row. Null text: no words, 0."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in common.text_bytes(b["text"])], np.uint64)
-            yield {"doc_id": b["doc_id"], "fp": fp.view(np.int64)}
+            yield {"doc_id": b["doc_id"], "kt": b["kt"], "fp": fp.view(np.int64)}
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text", common.document_key(docs)[1]), run, "doc_id long, kt long, fp long")
 
 
 def parts_of(radius: int, bits: int = BITS) -> list[tuple[int, int]]:
@@ -172,7 +172,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id of every row: the smallest doc_id reachable over links of fingerprints within radius.
+    """doc_id, kt, fp, label, component_id of every row; label is the same in a component only, component_id is the smallest doc_id reachable over links of fingerprints within radius.
 
     Null and empty texts have fingerprint 0 and are linked like any others. Rows that repeat
     repeat in the result. A null doc_id is the smallest only of a component without another.
@@ -183,7 +183,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     label = F.coalesce("label", "fp")
     own = least.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", label.alias("label"))
     of = own.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(own.join(of, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(own.join(of, "label").select("fp", "label", "component_id"), "fp").select("doc_id", "kt", "fp", "label", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """Of each component of docs one row: the smallest doc_id's (null last), of its texts the one with the least hash. The columns are docs'."""
+    found = near_duplicates(docs, radius, shingle)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("kd"), "kt")).alias("x")
+    kept = found.groupBy("label").agg(first).select(F.col("x.kd").alias("kd"), F.col("x.kt").alias("kt"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *common.document_key(docs))
+    rows = rows.join(kept, ["kd", "kt"], "left_semi").groupBy("kd", "kt").agg(F.first("row").alias("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

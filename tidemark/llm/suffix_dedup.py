@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -397,9 +398,10 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs and spans, a list of (first, last), null if there are none."""
+    """row (all columns of docs), text, and spans, a list of (first, last), null if there are none."""
     spans = repeated_spans(docs, length).groupBy("kd", "kt").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return docs.select("*", *common.document_key(docs)).join(spans, ["kd", "kt"], "left").drop("kd", "kt")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"), *common.document_key(docs))
+    return rows.join(spans, ["kd", "kt"], "left").select("row", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -414,7 +416,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cut = [_cut(t, [(x["first"], x["last"]) for x in s or ()]) for t, s in zip(texts, b["spans"].to_pylist(), strict=True)]
             yield {"doc_id": b["doc_id"], "n_bytes": [len(t) for t in texts], "n_removed": [c[1] for c in cut], "n_spans": [c[2] for c in cut], "kept": [c[0] for c in cut]}
 
-    return common.map_batches(with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    own = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length).select("row.doc_id", "text", "spans")
+    return common.map_batches(own, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with what is left of each text; a character of which a byte went goes too. A row of which nothing is left goes, one that was empty or null stays."""
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b in zip(text, first, last, strict=True):
+            out.append(_cut(t.encode(), list(zip(a.tolist(), b.tolist(), strict=True)))[0].decode("utf-8", "ignore") if a is not None else t)
+        return pd.Series(out)
+
+    own = with_spans(docs, length).withColumn("kept", kept("text", "spans.first", "spans.last"))
+    own = own.where("kept <> '' or text = '' or text is null")
+    return own.select(*((F.col("kept") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
