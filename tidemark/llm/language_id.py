@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 HIDDEN, WINDOW = 8, 128
-#: Labelled documents to train on at most: the first by a hash of their ids.
+#: Labelled documents to train on, about: the first by a hash of their ids.
 SAMPLE = 3000
 #: Bytes of each of them that may be drawn from, and steps of training.
 SAMPLE_BYTES, STEPS, BATCH, RATE = 20_000, 800, 192, 0.02
@@ -171,8 +171,12 @@ def pooled(m: Model, texts: list[bytes], window: int = WINDOW) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of docs' text and lang. Rows without either are left out; of more than ``sample`` rows those with the least hash of doc_id are taken."""
-    rows = docs.where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang").orderBy("h", "doc_id", "text", "lang").limit(sample).collect()
+    """A model of docs' text and lang. Rows without either are left out; of more than ``sample`` rows, about so many (twice as many at most), those with the least hash of doc_id, are taken."""
+    known = docs.where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), "text", "lang")
+    n = known.count()
+    if n > sample:
+        known = known.where(F.col("h") < -(2**63) + int(2**64 * (sample / n)))
+    rows = known.select("h", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang").distinct().orderBy("h", "text", "lang").limit(2 * sample).collect()
     return train([r.text.encode() for r in rows], [r.lang for r in rows])
 
 

@@ -13,6 +13,7 @@ classes bounds, are ever on the driver.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,24 @@ GAP = 1e-3
 
 _words: dict[str, bytes] = {}
 _tokenizer: list = []
-# White space in the sense of Unicode, which the tokenizer's pattern never joins across.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+#: Controls at which Python splits words and the tokenizer doesn't.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+# White space in the sense of Unicode.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _TO_SPACE = str.maketrans(dict.fromkeys(_SPACE, " "))
+#: Marks that are words of their own behind letters.
+_MARKS = ".,;:!?"
+
+
+def _split(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+        text = text.lower()  # what the tokenizer does, where no letter depends on its neighbours
+    except UnicodeEncodeError:
+        pass
+    if any(c in text for c in _ODD):
+        return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+    return text.split()
 
 
 def tokenizer_path() -> str:
@@ -53,23 +69,35 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if not _tokenizer or _tokenizer[0] != path:
         _tokenizer[:] = [path, Tokenizer.from_file(path)]
         _words.clear()
-    lists = [[w for w in t.translate(_TO_SPACE).split(" ") if w] if not t.isascii() or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
     out = []
-    for first in range(0, len(lists), 50):
-        split = lists[first : first + 50]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in _words]
-        for k in range(0, len(new), 2000):  # many at once; the tokens' places tell them apart
-            part = new[k : k + 2000]
-            e = _tokenizer[1].encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cuts = (4 * np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in part)]))).tolist()
-            _words.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+    for first in range(0, len(texts), 100):
+        split = [_split(t) for t in texts[first : first + 100]]
+        new = set().union(*split).difference(_words)
+        # letters and marks behind them: the ids of the letters and those of the marks
+        ends = [(w, w.rstrip(_MARKS)) for w in new if w[-1] in _MARKS]
+        ends = [(w, stem) for w, stem in ends if stem.isalpha()]
+        new.difference_update([w for w, _ in ends])
+        new.update(stem for _, stem in ends)
+        new.update(w[len(stem) :] for w, stem in ends)
+        new.difference_update(_words)
+        _learn(sorted(new), _tokenizer[1])
+        for w, stem in ends:
+            _words[w] = _words[stem] + _words[w[len(stem) :]]
         out += [b"".join(map(_words.__getitem__, words)) for words in split]
         if len(_words) > CACHE_WORDS:
             _words.clear()
     return out
 
 
+def _learn(words: list[str], tokenizer) -> None:
+    for k in range(0, len(words), 2000):  # many at once; the tokens' places tell them apart
+        part = words[k : k + 2000]
+        e = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids, at = np.array(e.ids, "<u4").tobytes(), np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2]
+        cuts = (4 * np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in part)]))).tolist()
+        _words.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each row's ids and end_id, cut every capacity tokens."""
     path = path or tokenizer_path()
