@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -274,11 +275,12 @@ _MEMBER = np.dtype([("of", np.int32), ("kd", np.int64), ("kt", np.int64), ("at",
 
 def _runs(length: int, targets: int):
     def code(target: int, found: dict) -> dict:
+        pack = zstandard.ZstdCompressor(level=1).compress
         order = sorted(found)
         lcp, size, rest = front_code([r for r, _ in order])
         left_lcp, left_size, left_rest = front_code([x for _, x in order])
         members = np.array([(i, *m) for i, k in enumerate(order) for m in found[k]], _MEMBER)
-        return {"target": target, "lcp": lcp.tobytes(), "size": size.tobytes(), "rest": rest, "left_lcp": left_lcp.tobytes(), "left_size": left_size.tobytes(), "left_rest": left_rest, "members": members.tobytes()}
+        return {"target": target, "lcp": lcp.tobytes(), "size": size.tobytes(), "rest": pack(rest), "left_lcp": left_lcp.tobytes(), "left_size": left_size.tobytes(), "left_rest": pack(left_rest), "members": members.tobytes()}
 
     def run(batches):
         held, parts = 0, {}
@@ -312,10 +314,11 @@ def _covered(length: int):
 
     def solve(rows: list[dict]) -> dict:
         ints = lambda x: np.frombuffer(x, np.int32)
+        unpack = zstandard.ZstdDecompressor().decompress
         sizes = [ints(r["size"]) for r in rows]
         lcps = [ints(r["lcp"]).tolist() for r in rows]
-        strings = [front_decode(k, s.tolist(), r["rest"]) for r, k, s in zip(rows, lcps, sizes, strict=True)]
-        lefts = [front_decode(ints(r["left_lcp"]).tolist(), ints(r["left_size"]).tolist(), r["left_rest"]) for r in rows]
+        strings = [front_decode(k, s.tolist(), unpack(r["rest"])) for r, k, s in zip(rows, lcps, sizes, strict=True)]
+        lefts = [front_decode(ints(r["left_lcp"]).tolist(), ints(r["left_size"]).tolist(), unpack(r["left_rest"])) for r in rows]
         members = [np.frombuffer(r["members"], _MEMBER) for r in rows]
         order, shared_by = merge(list(zip(strings, lcps, strict=True)))
         # equal suffixes with equal left bytes become one; ids[run] tells which
