@@ -14,13 +14,13 @@ def tokenizer():
     return Tokenizer.from_file(P.tokenizer_path())
 
 
-TEXTS = ["", " ", "Hello, it's 2024! don't", "İstanbul ΣΑΣ ΣΑΣ\x1cx\x1dy\x85z　w", "a<|endoftext|>b <|startoftext|>", "é ́x", "x" * 5000, " ᠎​﻿ mixed\xa0space", "日本語テキスト 123 ４５", "'s 't a's\t\n\r\x0b\x0c\x1fq"]
+TEXTS = ["", " ", "Hello, it's 2024! don't", "İstanbul ΣΑΣ ΣΑΣ\x1cx\x1dy\x85z　w", "a<|endoftext|>b <|startoftext|>", "é ́x", "x" * 5000, " ᠎​﻿ mixed\xa0space", "日本語テキスト 123 ４５", "a. b.. c.' d_. ½. é, f.", "'s 't a's\t\n\r\x0b\x0c\x1fq"]
 
 
 def test_ids_are_the_tokenizers():
     t = tokenizer()
     r = random.Random(3)
-    chars = [*"aAsStTlL' \t\n.,!0123<|>", "é", "É", "́", "ß", "Σ", "\x1c", "\x85", " ", "😀"]
+    chars = [*"aAsStTlL' \t\n.,!0123<|>_½;", "é", "É", "́", "ß", "Σ", "\x1c", "\x85", " ", "😀"]
     texts = TEXTS + ["".join(r.choices(chars, k=r.randint(0, 60))) for _ in range(1500)]
     for text, ids in zip(texts, P.encode(texts, P.tokenizer_path()), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)

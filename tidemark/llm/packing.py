@@ -12,6 +12,7 @@ classes bounds, are ever on the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import chain
 
@@ -37,8 +38,8 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 # White space in the sense of Unicode.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _TO_SPACE = str.maketrans(dict.fromkeys(_SPACE, " "))
-#: Marks that are words of their own behind letters.
-_MARKS = ".,;:!?"
+#: A mark behind a letter or digit and before white space is a token's border on both sides.
+_MARK = re.compile(r"[.,;:!?](?<=[^\W_].)(?=\s|\Z)")
 
 
 def _split(text: str) -> list[str]:
@@ -49,7 +50,7 @@ def _split(text: str) -> list[str]:
         pass
     if any(c in text for c in _ODD):
         return [w for w in text.translate(_TO_SPACE).split(" ") if w]
-    return text.split()
+    return _MARK.sub(r" \g<0>", text).split()
 
 
 def tokenizer_path() -> str:
@@ -73,16 +74,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     for first in range(0, len(texts), 100):
         split = [_split(t) for t in texts[first : first + 100]]
         new = set().union(*split).difference(_words)
-        # letters and marks behind them: the ids of the letters and those of the marks
-        ends = [(w, w.rstrip(_MARKS)) for w in new if w[-1] in _MARKS]
-        ends = [(w, stem) for w, stem in ends if stem.isalpha()]
-        new.difference_update([w for w, _ in ends])
-        new.update(stem for _, stem in ends)
-        new.update(w[len(stem) :] for w, stem in ends)
-        new.difference_update(_words)
         _learn(sorted(new), _tokenizer[1])
-        for w, stem in ends:
-            _words[w] = _words[stem] + _words[w[len(stem) :]]
         out += [b"".join(map(_words.__getitem__, words)) for words in split]
         if len(_words) > CACHE_WORDS:
             _words.clear()
