@@ -21,7 +21,7 @@ from . import common
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents in a block of a source, about.
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def targets(sizes: dict[str | None, int], share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
