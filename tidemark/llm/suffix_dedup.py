@@ -245,28 +245,35 @@ def _anchors(length: int, gram: int):
                 at, lo, hi, g = minimizers(chunk, ends, length, gram)
                 part = np.searchsorted(ends, at, "right")
                 starts = np.concatenate([[0], ends[:-1]])
-                yield {"gram": g.view(np.int64), "kd": kd[rows[part]], "kt": kt[rows[part]], "at": at - starts[part] + offsets[part], "lo": lo, "hi": hi}
+                x = {"gram": g.view(np.int64), "kd": kd[rows[part]], "kt": kt[rows[part]], "at": at - starts[part] + offsets[part], "lo": lo, "hi": hi}
+                _, back, count = np.unique(g, return_inverse=True, return_counts=True)
+                many = count[back] > 1
+                # a gram that is here twice is known to repeat: its rows go anywhere, and one more, a mark, tells the others
+                first = np.unique(back[many], return_index=True)[1]
+                mark = {k: v[many][first] for k, v in x.items()}
+                yield x | {"deal": np.where(many, x["kt"] ^ x["at"], x["gram"]), "state": many.astype(np.int64)}
+                if len(first):
+                    yield mark | {"deal": mark["gram"], "state": np.full(len(first), 2)}
 
     return run
 
 
 def _frequent(batches):
-    """Rows in order of gram: those whose gram has two rows or more. Holds one row."""
-    names = ("gram", "kd", "kt", "at", "lo", "hi")
-    held, told = None, False  # the last row, and whether it has gone out
+    """Rows in order of deal: those known to repeat (state 1), and those (0) whose gram has another row or a mark (2). Holds one row."""
+    names = ("gram", "kd", "kt", "at", "lo", "hi", "deal", "state")
+    held, told = None, False  # the last row, and whether it is known to repeat
     for b in batches:
         x = {n: common.longs(b[n]) for n in names}
         if not len(x["gram"]):
             continue
         if held is not None:
             x = {n: np.insert(x[n], 0, held[n]) for n in names}
-        same = x["gram"][1:] == x["gram"][:-1]
-        out = np.append(same, False) | np.insert(same, 0, held is not None and told)
-        go = out.copy()
-        if held is not None and told:
-            go[0] = False
+        same = (x["gram"][1:] == x["gram"][:-1]) & (x["deal"][1:] == x["deal"][:-1])
+        out = np.append(same, False) | np.insert(same, 0, told) | (x["state"] == 1)
+        go = out & (x["state"] != 2)
+        go[0] &= not (held is not None and told)
         held, told = {n: x[n][-1] for n in names}, bool(out[-1])
-        yield {n: x[n][go] for n in names}
+        yield {n: x[n][go] for n in names[:6]}
 
 
 RUN = "target long, lcp binary, size binary, rest binary, left_lcp binary, left_size binary, left_rest binary, members binary"
@@ -373,8 +380,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common.small_batches(spark)
     gram, n = length // 2, common.partitions(spark)
     texts = docs.select(*common.document_key(docs), "text")
-    found = common.map_batches(texts, _anchors(length, gram), fields := "gram long, kd long, kt long, at long, lo long, hi long")
-    found = common.map_batches(found.repartition(n, "gram").sortWithinPartitions("gram"), _frequent, fields)
+    found = common.map_batches(texts, _anchors(length, gram), "gram long, kd long, kt long, at long, lo long, hi long, deal long, state long")
+    found = common.map_batches(found.repartition(n, "deal").sortWithinPartitions("deal", "gram"), _frequent, "gram long, kd long, kt long, at long, lo long, hi long")
     # rows that repeat as a whole have each anchor once per row: count them, and take their text once
     found = found.repartition(n, "kd", "kt").groupBy("kd", "kt", "gram", "at", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     found = found.groupBy("kd", "kt").agg(F.collect_list(F.struct("gram", "at", "lo", "hi", "n")).alias("anchors"))
