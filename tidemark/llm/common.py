@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -59,10 +62,19 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], sc
         dicts = ({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches)
         for out in f(dicts):
             yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on and serves other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def longs(column: pa.Array) -> np.ndarray:
     """An integer column without nulls as numpy."""
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)

@@ -204,6 +204,7 @@ def identified(docs: DataFrame, m: Model, least: float = 0.35) -> DataFrame:
             text = b.column(b.schema.names.index("text"))
             known = [bool(_LETTER.search(t or "")) for t in text.to_pylist()]
             yield b.filter(pa.array(np.array(known, bool) & (pooled(m, common.text_bytes(text)).max(axis=1) >= least)))
+        common.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -27,7 +27,7 @@ CAPACITY, STEP, END_ID = 2048, 8, 1
 #: Ranks are given in so many parts of each class, side by side.
 PARTS = 64
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: The linear program ends when its bound shows that it is within this share of the best.
 GAP = 1e-3
 
