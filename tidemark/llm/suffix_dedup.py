@@ -251,16 +251,21 @@ def _anchors(length: int, gram: int):
                 # a gram that is here twice is known to repeat: its rows go anywhere, and one more, a mark, tells the others
                 first = np.unique(back[many], return_index=True)[1]
                 mark = {k: v[many][first] for k, v in x.items()}
-                yield x | {"deal": np.where(many, x["kt"] ^ x["at"], x["gram"]), "state": many.astype(np.int64)}
+                yield pack_window(x, many.astype(np.int64))
                 if len(first):
-                    yield mark | {"deal": mark["gram"], "state": np.full(len(first), 2)}
+                    yield pack_window(mark, 2)
 
     return run
 
 
+def pack_window(x: dict, state) -> dict:
+    """lo, hi and state in one number."""
+    return {k: v for k, v in x.items() if k not in ("lo", "hi")} | {"window": ((x["lo"] << 20 | x["hi"]) << 2) | state}
+
+
 def _frequent(batches):
-    """Rows in order of deal: those known to repeat (state 1), and those (0) whose gram has another row or a mark (2). Holds one row."""
-    names = ("gram", "kd", "kt", "at", "lo", "hi", "deal", "state")
+    """Rows with equal grams side by side: those known to repeat (state 1), and those (0) whose gram has another row or a mark (2). Holds one row."""
+    names = ("gram", "kd", "kt", "at", "window")
     held, told = None, False  # the last row, and whether it is known to repeat
     for b in batches:
         x = {n: common.longs(b[n]) for n in names}
@@ -268,12 +273,12 @@ def _frequent(batches):
             continue
         if held is not None:
             x = {n: np.insert(x[n], 0, held[n]) for n in names}
-        same = (x["gram"][1:] == x["gram"][:-1]) & (x["deal"][1:] == x["deal"][:-1])
-        out = np.append(same, False) | np.insert(same, 0, told) | (x["state"] == 1)
-        go = out & (x["state"] != 2)
+        same, state = x["gram"][1:] == x["gram"][:-1], x["window"] & 3
+        out = np.append(same, False) | np.insert(same, 0, told) | (state == 1)
+        go = out & (state != 2)
         go[0] &= not (held is not None and told)
         held, told = {n: x[n][-1] for n in names}, bool(out[-1])
-        yield {n: x[n][go] for n in names[:6]}
+        yield {n: x[n][go] for n in names[:4]} | {"window": x["window"][go] >> 2}
 
 
 RUN = "target long, lcp binary, size binary, rest binary, left_lcp binary, left_size binary, left_rest binary, members binary"
@@ -300,7 +305,7 @@ def _runs(length: int, targets: int):
             kd, kt = common.longs(b["kd"]), common.longs(b["kt"])
             for i, text in enumerate(common.text_bytes(b["text"])):
                 for x in b["anchors"][i].as_py():
-                    at, lo, hi = x["at"], x["lo"], x["hi"]
+                    at, lo, hi = x["at"], x["window"] >> 20, x["window"] & 0xFFFFF
                     key = text[at : at + length - lo], text[at - hi : at][::-1]
                     found = parts.setdefault(x["gram"] % targets, {})
                     if key not in found:
@@ -380,11 +385,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common.small_batches(spark)
     gram, n = length // 2, common.partitions(spark)
     texts = docs.select(*common.document_key(docs), "text")
-    found = common.map_batches(texts, _anchors(length, gram), "gram long, kd long, kt long, at long, lo long, hi long, deal long, state long")
-    found = common.map_batches(found.repartition(n, "deal").sortWithinPartitions("deal", "gram"), _frequent, "gram long, kd long, kt long, at long, lo long, hi long")
+    fields = "gram long, kd long, kt long, at long, window long"
+    found = common.map_batches(texts, _anchors(length, gram), fields)
+    deal = F.when(F.col("window").bitwiseAND(F.lit(3)) == 1, F.col("kt").bitwiseXOR(F.col("at"))).otherwise(F.col("gram"))
+    found = common.map_batches(found.repartition(n, deal).sortWithinPartitions("gram"), _frequent, fields)
     # rows that repeat as a whole have each anchor once per row: count them, and take their text once
-    found = found.repartition(n, "kd", "kt").groupBy("kd", "kt", "gram", "at", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    found = found.groupBy("kd", "kt").agg(F.collect_list(F.struct("gram", "at", "lo", "hi", "n")).alias("anchors"))
+    found = found.repartition(n, "kd", "kt").groupBy("kd", "kt", "gram", "at", "window").agg(F.count(F.lit(1)).alias("n"))
+    found = found.groupBy("kd", "kt").agg(F.collect_list(F.struct("gram", "at", "window", "n")).alias("anchors"))
     once = texts.where(F.octet_length("text") >= length).repartition(n, "kd", "kt").dropDuplicates(["kd", "kt"])
     runs = common.map_batches(once.join(found, ["kd", "kt"]), _runs(length, n), RUN)
     spans = common.map_batches(runs.repartition(n, "target").sortWithinPartitions("target"), _covered(length), "kd long, kt long, first long, last long")
