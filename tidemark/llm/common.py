@@ -58,7 +58,10 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], sc
     }
     arrow = pa.schema([(n, kinds[k]) for n, k in fields])
 
+    owner = f.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
         dicts = ({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches)
         for out in f(dicts):
             yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
@@ -67,6 +70,16 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], sc
     return df.mapInArrow(run, schema)
 
 
+#: What an operator keeps in a worker between tasks, by module; a worker that serves another operator drops it.
+KEPT: dict[str, dict] = {}
+
+
+def forget_others(owner: str) -> None:
+    for module, kept in KEPT.items():
+        if module != owner:
+            kept.clear()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker lives on and serves other operators."""
     gc.collect()

@@ -27,11 +27,12 @@ CAPACITY, STEP, END_ID = 2048, 8, 1
 #: Ranks are given in so many parts of each class, side by side.
 PARTS = 64
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 #: The linear program ends when its bound shows that it is within this share of the best.
 GAP = 1e-3
 
 _words: dict[str, bytes] = {}
+common.KEPT[__name__] = _words
 _tokenizer: list = []
 #: Controls at which Python splits words and the tokenizer doesn't.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
