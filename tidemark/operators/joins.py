@@ -133,11 +133,11 @@ def running(df: DataFrame, keys: list[str], pos: str, order: list, value: Column
     return out.withColumn(into, both).drop("_stretch", "_value", "_inside", "_before")
 
 
-def _ranked(us: DataFrame, vs: DataFrame, keys: list[str], u_pos: str, v_pos: str, v_first: bool, ties: list[str]) -> tuple[DataFrame, DataFrame]:
+def _ranked(us: DataFrame, vs: DataFrame, keys: list[str], u_pos: str, v_pos: str, v_first: bool, ties: list[Column]) -> tuple[DataFrame, DataFrame]:
     """us with _n, the rows of vs before its position (at it too, if v_first), and vs with its rank _k from 1."""
     left = us.select(*keys, F.col(u_pos).alias("_pos"), F.lit(1 if v_first else 0).alias("_kind"), F.struct(*us.columns).alias("_u"), F.lit(None).cast(vs.select(F.struct(*vs.columns)).schema[0].dataType).alias("_v"), F.lit(0).alias("_one"))
     right = vs.select(*keys, F.col(v_pos).alias("_pos"), F.lit(0 if v_first else 1).alias("_kind"), F.lit(None).cast(us.select(F.struct(*us.columns)).schema[0].dataType).alias("_u"), F.struct(*vs.columns).alias("_v"), F.lit(1).alias("_one"))
-    every = running(left.union(right), keys, "_pos", ["_kind", *(F.col(f"_v.{t}") for t in ties)], F.col("_one"), "_n")
+    every = running(left.union(right), keys, "_pos", ["_kind", *ties], F.col("_one"), "_n")
     return every.where("_one = 0").select("_u.*", "_n"), every.where("_one = 1").select("_v.*", F.col("_n").alias("_k"))
 
 
@@ -151,13 +151,14 @@ def _classes(us: DataFrame, vs: DataFrame, stranded: bool) -> tuple[DataFrame, D
 
 
 def _by_rank(own: DataFrame, others: DataFrame, keys: list[str], n: int, up: bool) -> DataFrame:
+    rest = [c for c in others.columns if c not in ("start", "end", *keys)]
     if up:
-        flipped = others.withColumn("_less", -F.col("start"))  # of equal ends, the first in order of locus is the nearest
-        left, right = _ranked(own, flipped, keys, "start", "end", False, ["_less"])
-        left, right = left.where("_n > 0"), right.drop("_less")
+        # of equal ends, the first in order of locus is the nearest, so it comes last
+        left, right = _ranked(own, others, keys, "start", "end", False, [F.desc("_v.start"), *(F.desc(f"_v.{c}") for c in rest)])
+        left = left.where("_n > 0")
         wanted = F.sequence(F.greatest(F.col("_n") - (n - 1), F.lit(1)), F.col("_n"))
     else:
-        left, right = _ranked(own, others, keys, "end", "start", True, ["end"])
+        left, right = _ranked(own, others, keys, "end", "start", True, [F.asc("_v.end"), *(F.asc(f"_v.{c}") for c in rest)])
         wanted = F.sequence(F.col("_n") + 1, F.col("_n") + n)
     left, right = left.withColumn("_k", F.explode(wanted)), prefixed(right)
     cond = F.col("_k") == F.col("r__k")
