@@ -83,3 +83,62 @@ def test_whole_documents(spark):
     got = {r.doc_id: r.component_id for r in S.digest(docs).collect()}
     assert got[3] == got[4] == got[8] == got[None] == 3 and got[5] == got[6] == got[7] == 5 and got[9] == 9
     assert S.digest(docs.where("doc_id < 0")).count() == 0
+
+
+def edited(r: random.Random, words: list[str], n: int) -> str:
+    out = list(words)
+    for i in r.sample(range(len(out)), n):
+        out[i] = f"new{r.random()}"
+    return " ".join(out)
+
+
+def five(text: str | None) -> set:
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_wide_forest_joins_as_all_pairs_do(monkeypatch, small):
+    monkeypatch.setattr(S, "SMALL", small)
+    fp = np.array([[x, x ^ 5] for x in sorted(set(near(random.Random(6), 150)))], np.uint64)
+    entry = np.sort(np.arange(len(fp)) % 3)
+    up = list(range(len(fp)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for i, j in S.wide_forest(entry, fp, 6):
+        assert entry[i] == entry[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= 6
+        assert root(i) != root(j)
+        up[root(i)] = root(j)
+    want = sum(len(set(brute([int(a) << 64 | int(b) for a, b in fp[entry == k]], 6))) for k in range(3))
+    assert len({root(i) for i in range(len(fp))}) == want
+
+
+def test_likeness_is_exact_for_few_shingles_and_close_for_many():
+    r = random.Random(3)
+    for n, off in ((0, 0), (1, 0), (90, 0), (2000, 0.12)):
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        for k in (0, min(n, 1), n // 40):
+            a, b = " ".join(words), edited(r, words, k)
+            want = len(five(a) & five(b)) / len(five(a) | five(b))
+            assert abs(S.likeness(S.wide_fingerprint(a.encode())[2], S.wide_fingerprint(b.encode())[2]) - want) <= off + 1e-9
+
+
+@pytest.mark.parametrize("cut", [16_384, 50])
+def test_near_copies_of_whole_documents(spark, monkeypatch, cut):
+    monkeypatch.setattr(S, "ROWS", cut)
+    r = random.Random(8)
+    rows, wanted = [], 0
+    for g in range(30):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randint(60, 120))]
+        size = 100 if g == 0 else 3
+        rows += [(1000 * g, " ".join(words))] + [(1000 * g + i, edited(r, words, 1)) for i in range(1, size)]
+        wanted += 1
+    line = " ".join(["the"] * 90)
+    rows += [(10**6, "a b c d e f g h i j " + line), (10**6 + 1, "k l m n o p q r s t " + line), (10**6 + 2, None), (10**6 + 3, ""), (10**6 + 4, "one two")]
+    docs = spark.createDataFrame([(*x, "a", "b") for x in rows], "doc_id long, text string, fp string, label string")
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns
+    ids = {x.doc_id for x in got.collect()}
+    alike = lambda a, b: len(five(a) & five(b)) >= 0.8 * len(five(a) | five(b))
+    first = dict(rows)
+    assert ids == {d for d, t in rows if d % 1000 == 0 or d >= 10**6} - {10**6 + 3} | {d for d, t in rows if d % 1000 and d < 10**6 and not alike(t, first[d // 1000 * 1000])}
+    assert S.one_of_each(docs.where("doc_id < 0")).count() == 0
