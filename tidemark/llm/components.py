@@ -16,7 +16,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     links are spread again at once. Takes about the logarithm of the longest path; more
     than ``rounds`` raises. Edges may repeat or join a node to itself. No edges: no rows.
     """
-    every = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
+    every = common.cut_lineage(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))  # asked twice
     e = common.cut_lineage(every.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
