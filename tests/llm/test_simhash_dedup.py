@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -142,3 +143,28 @@ def test_near_copies_of_whole_documents(spark, monkeypatch, cut):
     first = dict(rows)
     assert ids == {d for d, t in rows if d % 1000 == 0 or d >= 10**6} - {10**6 + 3} | {d for d, t in rows if d % 1000 and d < 10**6 and not alike(t, first[d // 1000 * 1000])}
     assert S.one_of_each(docs.where("doc_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_copies_in_a_family_that_shares_boilerplate(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for family in range(3):  # all share 0.75, the first two of each three 0.81: not the closest fingerprints
+        shared = words(90)
+        for i in range(0, 360, 10):
+            text = shared + words(14)
+            other = [f"new{i}-{k}" if k in (20, 50) else w for k, w in enumerate(text)]
+            rows += [(1000 * family + i, " ".join(text)), (1000 * family + i + 1, " ".join(other)), (1000 * family + i + 2, " ".join(shared + words(14)))]
+    alike = lambda a, b: len(five(a) & five(b)) >= 0.8 * len(five(a) | five(b))
+    pairs = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if a // 1000 == b // 1000 and alike(x, y)}
+    assert len(pairs) == 108
+    got = {x.doc_id: x.component_id for x in S.wide_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if got[a] == got[b]} == pairs
+
+
+def test_alike_forest_of_two_blocks():
+    rows, size = S.sketch_rows([np.array(h, "<u4").tobytes() for h in ([1, 2, 3, 4], [7, 8], [2, 3, 4], [1, 2, 3, 4])])
+    assert sorted(S.alike_forest(rows, size, np.zeros(4, np.int64), 0.75)) == [(0, 2), (0, 3)]
+    assert S.alike_forest(rows, size, np.array([0, 0, 0, 1]), 0.75) == [(0, 3), (3, 2)]

@@ -10,9 +10,10 @@ A fingerprint of 64 bits and radius 3 finds texts that are almost equal. For tex
 share 0.8 of their five-word shingles (Jaccard), ``one_of_each`` takes 128 bits on which
 distinct shingles vote; 19 of them differ at 0.8 on the average, with a deviation of 4. They are cut into
 ``SEGMENTS`` parts under the same wildcards, which finds all within 2 * SEGMENTS - 1 bits and
-most of those up to ``APART``. The closest links of each entry that join its fingerprints are
-verified by the least ``SKETCH`` hashes of both texts' shingles, which give the Jaccard index itself
-where there are no more shingles, else an estimate with a deviation of 0.035.
+most of those up to ``APART``. What links within ``APART`` join, in whatever entries, is a family; it holds all
+candidates. In a family all texts are compared, block by block, by the least ``SKETCH`` hashes of both texts'
+shingles, which give the Jaccard index itself where there are no more shingles, else an estimate
+with a deviation of 0.035. Only what that links is near copies: a family may have many groups or none.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SEGMENTS, APART, WORDS, JACCARD, SKETCH = 8, 28, 5, 0.8, 128
 #: Rows that are compared at once, and the largest entry that is compared row by row.
 ROWS, SMALL = 16_384, 64
+#: A family is dealt out in pairs of blocks of so many texts, while it is not cut in more than CUTS; larger blocks have LARGEST at most.
+BLOCK, CUTS, LARGEST = 128, 64, 4096
 #: Entries with more fingerprints than this are cut again by the rest of the fingerprint.
 DIRECT = 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -68,16 +71,31 @@ def wide_fingerprint(text: bytes, shingle: int = WORDS) -> tuple[np.uint64, np.u
     more = h + _MIX[2]
     more = (more ^ (more >> np.uint64(33))) * _MIX[0]
     more = (more ^ (more >> np.uint64(29))) * _MIX[1]
-    return _majority(h), _majority(more ^ (more >> np.uint64(32))), (h[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+    return _majority(h), _majority(more ^ (more >> np.uint64(32))), np.unique(h >> np.uint64(32))[:SKETCH].astype("<u4").tobytes()
+
+
+def sketch_rows(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows, filled up with what no hash is, and their sizes."""
+    size = np.array([len(x) // 4 for x in sketches], np.int64)
+    out = np.full((len(sketches), max(1, size.max(initial=0))), 2**32, np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer(b"".join(sketches), "<u4")
+    return out, size
+
+
+def likenesses(x: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The Jaccard index that a sketch and each of rows tell. 1 if both are empty."""
+    below = np.searchsorted(x, rows)
+    both = np.append(x, -1)[below] == rows
+    # place among the hashes of either
+    place = np.arange(rows.shape[1]) + below - np.cumsum(both, axis=1) + both
+    # behind the last hash of a full sketch, that text may have more
+    known = np.minimum(SKETCH, len(x) + size - both.sum(axis=1))
+    return np.where(known > 0, (both & (place < known[:, None])).sum(axis=1) / np.maximum(known, 1), 1.0)
 
 
 def likeness(x: bytes, y: bytes) -> float:
     """The Jaccard index that two sketches tell. 1 if both are empty."""
-    a, b = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
-    every, times = np.unique(np.concatenate([a, b]), return_counts=True)
-    # behind the last hash of a full sketch, that text may have more
-    known = min([SKETCH, *(np.searchsorted(every, v[-1]) + 1 for v, z in ((a, x), (b, y)) if len(z) == 4 * SKETCH)]) if len(every) else 0
-    return float((times[:known] == 2).mean()) if known else 1.0
+    return float(likenesses(np.frombuffer(x, "<u4").astype(np.int64), *sketch_rows([y]))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -238,21 +256,19 @@ def _wide_variants(segments: int):
 
 
 def wide_forest(entry: np.ndarray, f: np.ndarray, apart: int) -> list[tuple[int, int]]:
-    """Of rows in order of entry (f: two words each), as many links as join what all links within apart join in each entry, close ones first."""
+    """Of rows in order of entry (f: two words each), as many links as join what all links within apart join in each entry. Which ones is the same to families."""
     cuts = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1], [True]]))
     size = np.diff(cuts)
     end = np.repeat(cuts[1:], size)
-    own, found = np.flatnonzero(np.repeat(size <= SMALL, size)), [np.empty((0, 3), np.int64)]
+    own, found = np.flatnonzero(np.repeat(size <= SMALL, size)), [np.empty((0, 2), np.int64)]
     for lag in range(1, SMALL):
         own = own[own + lag < end[own]]
         if not len(own):
             break
         d = np.bitwise_count(f[own] ^ f[own + lag]).sum(axis=1, dtype=np.int64)
         near = np.flatnonzero(d <= apart)
-        found.append(np.stack([d[near], own[near], own[near] + lag], axis=1))
-    found = np.concatenate(found)
-    found = found[np.argsort(found[:, 0], kind="stable")]
-    names, at = np.unique(found[:, 1:], return_inverse=True)
+        found.append(np.stack([own[near], own[near] + lag], axis=1))
+    names, at = np.unique(np.concatenate(found), return_inverse=True)
     at = at.reshape(-1, 2)
     out = [(int(names[i]), int(names[j])) for i, j in _forest(len(names), at[:, 0], at[:, 1])]
     for k in np.flatnonzero(size > SMALL).tolist():
@@ -299,22 +315,63 @@ def _wide_candidates(apart: int):
     return run
 
 
+def alike_forest(rows: np.ndarray, size: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of sketches, as many links as join what all links of likeness least or more join. Where there are two blocks: what links between them join."""
+    out, left, queue, two = [], np.arange(len(rows)), [], len(np.unique(block)) > 1
+    while len(left):
+        if not queue:  # a component begins; what it reaches leaves the rest, so a dense group costs little
+            queue, left = [int(left[0])], left[1:]
+        now = queue.pop()
+        asked = left[block[left] != block[now]] if two else left
+        hit = asked[likenesses(rows[now, : size[now]], rows[asked], size[asked]) >= least - 1e-9]
+        out += [(now, i) for i in hit.tolist()]
+        queue += hit.tolist()
+        left = left[~np.isin(left, hit)]
+    return out
+
+
 def _alike(least: float):
+    """Rows in order of label, i and j: verified links within each family's pair of blocks, by name."""
+
+    def solve(held):
+        name, block = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        x = np.array(alike_forest(*sketch_rows([x[2] for x in held]), block, least), np.int64).reshape(-1, 2)
+        return {"a": name[x[:, 0]], "b": name[x[:, 1]]}
+
     def run(batches):
+        held, key = [], None
         for b in batches:
-            keep = np.array([likeness(x, y) >= least - 1e-9 for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)], bool)
-            yield {"a": common.longs(b["a"])[keep], "b": common.longs(b["b"])[keep]}
+            for *k, name, block, sketch in zip(*(b[c].to_pylist() for c in ("label", "i", "j", "fp", "block", "sketch")), strict=True):
+                if k != key and held:
+                    if len(held) > 1:
+                        yield solve(held)
+                    held = []
+                key = k
+                held.append((name, block, sketch))
+        if len(held) > 1:
+            yield solve(held)
 
     return run
 
 
+def alike_links(family: DataFrame, distinct: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """a, b: verified links of names, which join what all alike pairs in each family join. family: node (a name) and label."""
+    size = family.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    cuts = F.greatest(F.ceil(F.col("n") / LARGEST), F.least(F.ceil(F.col("n") / BLOCK), F.lit(CUTS)))
+    own = family.join(size, "label").select(F.col("node").alias("fp"), "label", cuts.cast("long").alias("cuts"))
+    own = own.join(distinct.select("fp", "sketch"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("cuts")))
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("p")
+    dealt = own.select("label", "fp", "block", "sketch", pair).select("label", "p.i", "p.j", "fp", "block", "sketch")
+    n = common.partitions(distinct.sparkSession)
+    return common.map_batches(dealt.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j"), _alike(jaccard), "a long, b long")
+
+
 def wide_links(distinct: DataFrame, apart: int = APART, segments: int = SEGMENTS, jaccard: float = JACCARD) -> DataFrame:
     """a, b: verified links of names. distinct: fp (the name), hi, lo, sketch, each once."""
     n = common.partitions(distinct.sparkSession)
     filed = common.map_batches(distinct.select("fp", "hi", "lo"), _wide_variants(segments), "entry long, fp long, hi long, lo long")
     found = common.map_batches(filed.repartition(n, "entry").sortWithinPartitions("entry"), _wide_candidates(apart), "a long, b long").distinct()
-    x, y = (distinct.select(F.col("fp").alias(k), F.col("sketch").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return common.map_batches(found.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _alike(jaccard), "a long, b long")
+    return alike_links(components(found), distinct, jaccard)
 
 
 def _labelled(fps: DataFrame, least: DataFrame, near: DataFrame) -> DataFrame:
