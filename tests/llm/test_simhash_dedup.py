@@ -123,6 +123,17 @@ def test_likeness_is_exact_for_few_shingles_and_close_for_many():
             assert abs(S.likeness(S.wide_fingerprint(a.encode())[2], S.wide_fingerprint(b.encode())[2]) - want) <= off + 1e-9
 
 
+def test_likeness_is_exact_up_to_a_whole_sketch():
+    r = random.Random(4)
+    for n in (114, 127, 128):  # the union has more than 128
+        for k in (1, 2, 3):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+            a, b = " ".join(words), edited(r, words, k)
+            want = len(five(a) & five(b)) / len(five(a) | five(b))
+            assert len(five(a)) == len(five(b)) == n
+            assert abs(S.likeness(S.wide_fingerprint(a.encode())[2], S.wide_fingerprint(b.encode())[2]) - want) <= 1e-9
+
+
 @pytest.mark.parametrize("cut", [16_384, 50])
 def test_near_copies_of_whole_documents(spark, monkeypatch, cut):
     monkeypatch.setattr(S, "ROWS", cut)

@@ -66,12 +66,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: bytes, shingle: int = WORDS) -> tuple[np.uint64, np.uint64, bytes]:
-    """The same by distinct shingles and 128 bits: a shingle's XXH64, and that mixed. Then the sketch: upper halves of the least hashes."""
+    """The same by distinct shingles and 128 bits: a shingle's XXH64, and that mixed. Then the sketch: upper halves of the least hashes, one beyond SKETCH if there are more."""
     h = np.unique(hashes(text, shingle))
     more = h + _MIX[2]
     more = (more ^ (more >> np.uint64(33))) * _MIX[0]
     more = (more ^ (more >> np.uint64(29))) * _MIX[1]
-    return _majority(h), _majority(more ^ (more >> np.uint64(32))), np.unique(h >> np.uint64(32))[:SKETCH].astype("<u4").tobytes()
+    return _majority(h), _majority(more ^ (more >> np.uint64(32))), np.unique(h >> np.uint64(32))[: SKETCH + 1].astype("<u4").tobytes()
 
 
 def sketch_rows(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +88,8 @@ def likenesses(x: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
     both = np.append(x, -1)[below] == rows
     # place among the hashes of either
     place = np.arange(rows.shape[1]) + below - np.cumsum(both, axis=1) + both
-    # behind the last hash of a full sketch, that text may have more
-    known = np.minimum(SKETCH, len(x) + size - both.sum(axis=1))
+    # a sketch of more than SKETCH may not be all of its text; else all hashes of both are at hand
+    known = np.where((len(x) > SKETCH) | (size > SKETCH), SKETCH, len(x) + size - both.sum(axis=1))
     return np.where(known > 0, (both & (place < known[:, None])).sum(axis=1) / np.maximum(known, 1), 1.0)
 
 
