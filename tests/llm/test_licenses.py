@@ -52,3 +52,11 @@ def test_nearest_directory_wins(spark):
     rows = [(1, "LICENSE", "Released under the MIT License."), (2, "a/LICENSE", "Licensed under CC BY 4.0."), (3, "a/b/x", "none"), (4, "c/d", "none"), (5, None, None), (6, "a", "none")]
     got = {r.row: (r.licence, r.directory) for r in L.scan(spark.createDataFrame(rows, "row long, path string, text string")).collect()}
     assert got[3] == ("CC-BY-4.0", "a") and got[4] == ("MIT", "") and got[5] == ("MIT", "") and got[6] == ("MIT", "")
+
+
+def test_notices_anywhere_and_whole_texts_speak(spark):
+    full = dict(L.TEMPLATES[L._NOTICES :])
+    wrapped = "# Permission is hereby granted, free of charge,\n# to any person obtaining a copy of this software\n# and associated documentation files\ncode follows\n"
+    rows = [(1, "a/x", "prose\nReleased under the MIT License."), (2, "a/y", "none"), (3, "b/x", "import os\n\n" + wrapped + "x = 1\n" * 50), (4, "b/y", "none"), (5, "c/x", full["GPL-3.0"]), (6, "c/y", "none"), (7, "d/x", "Copyright (c) 2020 A. B.\n\n" + full["MIT"])]
+    got = {r.row: (r.licence, r.how) for r in L.scan(spark.createDataFrame(rows, "row long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "header"), 2: ("MIT", "inherited"), 3: ("MIT", "header"), 4: ("MIT", "inherited"), 5: ("GPL-3.0", "file"), 6: ("GPL-3.0", "inherited"), 7: ("MIT", "file")}

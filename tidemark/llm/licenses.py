@@ -1,10 +1,10 @@
 """Licence scans: TF-IDF cosine of headers and files to templates, and inheritance by directory.
 
-All of it is DataFrame operations. A segment is a line of a text, or the whole text. Its words
+All of it is DataFrame operations. A segment is a line of a text, a block of lines as long as a notice may be, or the whole text. Its words
 are runs of a-z and 0-9, lower-cased, weighted by times * idf; idf comes from all documents. A
 segment whose cosine to a template is ``LEAST`` or more has its licence. Only segments
 with a word without which no template can reach that are weighed (a prefix filter, which loses none). A text with
-a licence in its first line, or as a whole, speaks for its directory. A text without one has
+a licence of its own speaks for its directory. A text without one has
 that of the nearest directory above which some text speaks for.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +33,17 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+# Whole licence texts, by the names of their files.
+_NOTICES = len(TEMPLATES)
+TEMPLATES += [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 
 
 def _words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
+#: Words of a block of lines at most: twice those of the longest notice.
+BLOCK_WORDS = 2 * max(len(_words(t)) for _, t in TEMPLATES[:_NOTICES])
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in _words(t)})
 
 
@@ -75,13 +81,18 @@ def needed(weights: list[dict[str, float]], least: float = LEAST) -> list[str]:
 
 
 def segments(docs: DataFrame, words: list[str]) -> DataFrame:
-    """row, kind (first, line or file) and key, words of each segment that has one of words. docs: row, text."""
+    """row, kind (first, line, which blocks are too, or file) and key, words of each segment that has one of words. docs: row, text."""
     asked = F.array(*map(F.lit, words))
     # the file has a line's words, so files are asked first and the others' lines never split
     files = docs.where(F.arrays_overlap(words_of(F.col("text")), asked))
     lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("n", "s"), "text")
     lines = lines.select("row", F.when(F.col("n") == 0, "first").otherwise("line").alias("kind"), F.col("s"))
-    every = lines.union(files.select("row", F.lit("file"), "text")).select("row", "kind", words_of(F.col("s")).alias("words"))
+    # blocks start at each line that has words and end at each later one, while they are no longer than two notices
+    full = files.select("row", F.filter(F.transform(F.split("text", "\n"), lambda s: F.array_join(words_of(s), " ")), lambda s: s != "").alias("lines"))
+    starts = full.select("row", "lines", F.posexplode("lines").alias("n", "s")).select("row", F.slice("lines", F.col("n") + 1, BLOCK_WORDS).alias("lines")).where(F.size("lines") > 1)
+    blocks = starts.select("row", F.explode(F.transform(F.sequence(F.lit(2), F.size("lines")), lambda k: F.array_join(F.slice("lines", 1, k), " "))).alias("s"))
+    blocks = blocks.where(F.size(F.split("s", " ")) <= BLOCK_WORDS).select("row", F.lit("line").alias("kind"), "s")
+    every = lines.union(blocks).union(files.select("row", F.lit("file"), "text")).select("row", "kind", words_of(F.col("s")).alias("words"))
     every = every.where(F.arrays_overlap("words", asked))
     joined = F.array_join("words", " ")
     return every.select("row", "kind", F.struct(F.xxhash64(joined).alias("a"), F.hash(joined).alias("b")).alias("key"), "words")
@@ -117,7 +128,7 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = found.select("row", "kind", "key").join(scores(found, idf, unseen, weights), "key")
     # the surest segment; at ties the file, then the first line, then the template that sorts first
     rank = F.struct("score", (F.col("kind") == "file").alias("f"), (F.col("kind") == "first").alias("s"))
-    best = hits.groupBy("row").agg(F.max_by(F.struct("licence", "score", "kind"), F.struct(rank, F.expr("transform(split(licence, ''), c -> -ascii(c))"))).alias("b"), F.max(F.when(F.col("kind") != "line", F.col("score"))).alias("speaks"))
+    best = hits.groupBy("row").agg(F.max_by(F.struct("licence", "score", "kind"), F.struct(rank, F.expr("transform(split(licence, ''), c -> -ascii(c))"))).alias("b"), F.max("score").alias("speaks"))
     own = docs.select("row", F.coalesce("path", F.lit("")).alias("path")).distinct().withColumn("dirs", directories(F.col("path"))).withColumn("dir", F.element_at("dirs", -1))
     own = own.join(best, "row", "left")
     speaking = own.where("speaks is not null").groupBy("dir").agg(F.max_by("b.licence", F.struct("speaks", F.expr("transform(split(b.licence, ''), c -> -ascii(c))"))).alias("of"), F.max("speaks").alias("sure"))
