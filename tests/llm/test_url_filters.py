@@ -50,3 +50,14 @@ def test_mined_rules_are_brute_force(spark, seed):
     assert {tuple(x.tokens) for x in mined.collect()} == want and want
     got = {x.url for x in U.matched(rows, mined).collect()}
     assert got == {u for u in urls if any(tokens[u].issuperset(s) for s in want)}
+
+
+def test_tokens_at_the_end_of_long_urls_are_mined(spark):
+    r = random.Random(5)
+    path = "/".join(f"w{i}" for i in range(18))  # in all URLs, before what tells
+    urls = [f"http://{i}.net/{path}/{r.choice(['x', 'y'])}?{r.choice(['k', 'm'])}=1&z{i}=1" for i in range(120)]
+    rows = spark.createDataFrame([(u, "?k=" in u) for u in urls] + [(f"http://c{i}.net/k?a=1", False) for i in range(40)], "url string, block boolean")
+    mined = U.mine(rows)
+    got = {tuple(x.tokens): x.confidence for x in mined.collect()}
+    assert got == {("key:k",): 1.0}
+    assert {x.url for x in U.matched(rows, mined).collect()} == {u for u in urls if "?k=" in u}

@@ -1,7 +1,7 @@
 """URL filters: fixed host and path rules, then association rules mined from labels.
 
 All of it is DataFrame operations. FP-growth finds the combinations of URL tokens that go with a
-label; a rule stays if its confidence and support are high enough and none of its
+label, of all tokens that blocked URLs have often enough; those that are in the same URLs are mined as one. A rule stays if its confidence and support are high enough and none of its
 parts is as sure. Each rule is filed under its rarest token; a URL's tokens look rules up there and the rest of
 the rule is compared.
 """
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: A rule mined needs this share of the labelled URLs and this many of them, and this confidence.
 SUPPORT, LEAST, CONFIDENCE = 0.005, 20, 0.6
-#: Tokens of a URL that mining looks at: the first by place. Matching looks at all.
-MINED_TOKENS = 16
 _BLOCK = "=block"
 
 
@@ -63,7 +61,14 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
     share = max(support, least / max(n, 1))
     if share > 1:
         return none
-    items = rows.select(F.slice(tokens_of(F.col("url")), 1, MINED_TOKENS).alias("t"), "block").select(F.when(F.col("block"), F.concat("t", F.array(F.lit(_BLOCK)))).otherwise(F.col("t")).alias("items"))
+    rows = rows.select("url", "block", tokens_of(F.col("url")).alias("t"))
+    # no rule has a token that too few blocked URLs have; tokens of the same URLs have the same rules
+    name = F.xxhash64("url").cast("decimal(38,0)"), F.hash("url").cast("decimal(38,0)")
+    known = rows.select("block", *(x.alias(k) for x, k in zip(name, ("x", "y"), strict=True)), F.explode("t").alias("token"))
+    known = known.groupBy("token").agg(F.count_if("block").alias("blocked"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).where(F.col("blocked") >= share * n - 1e-6)
+    classes = known.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("same")).select(F.col("same")[0].alias("token"), "same")
+    mined = classes.agg(F.collect_list("token").alias("mined"))  # one row, of no more than 1 / share of a URL's tokens
+    items = rows.crossJoin(F.broadcast(mined)).select(F.array_intersect("t", "mined").alias("t"), "block").select(F.when(F.col("block"), F.concat("t", F.array(F.lit(_BLOCK)))).otherwise(F.col("t")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0] == _BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = rules.where(~F.array_contains("tokens", _BLOCK))
@@ -71,7 +76,11 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
     parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).select("tokens", "confidence", F.array_remove("tokens", F.col("t")).alias("part"))
     known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
     idle = parts.join(known, "part").where("c >= confidence").select("tokens").distinct()
-    return rules.join(idle, "tokens", "left_anti")
+    rules = rules.join(idle, "tokens", "left_anti").withColumn("id", F.monotonically_increasing_id())
+    # each token may be any of those in the same URLs
+    same = rules.select("id", "confidence", "support", F.explode("tokens").alias("token")).join(F.broadcast(classes), "token").groupBy("id").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.collect_list("same").alias("same"))
+    every = F.aggregate("same", F.expr("array(cast(array() as array<string>))"), lambda acc, ms: F.flatten(F.transform(acc, lambda a: F.transform(ms, lambda m: F.concat(a, F.array(m))))))
+    return same.select(F.explode(every).alias("tokens"), "confidence", "support").select(F.array_sort("tokens").alias("tokens"), "confidence", "support")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
