@@ -80,15 +80,15 @@ def needed(weights: list[dict[str, float]], least: float = LEAST) -> list[str]:
     return sorted(out)
 
 
-def segments(docs: DataFrame, words: list[str]) -> DataFrame:
-    """row, kind (first, line, which blocks are too, or file) and key, words of each segment that has one of words. docs: row, text."""
+def segments(docs: DataFrame, words: list[str], notice: list[str]) -> DataFrame:
+    """row, kind (first, line, which blocks are too, or file) and key, words of each segment that has one of words (a block: in a text that has one of notice). docs: row, text."""
     asked = F.array(*map(F.lit, words))
     # the file has a line's words, so files are asked first and the others' lines never split
     files = docs.where(F.arrays_overlap(words_of(F.col("text")), asked))
     lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("n", "s"), "text")
     lines = lines.select("row", F.when(F.col("n") == 0, "first").otherwise("line").alias("kind"), F.col("s"))
     # blocks start at each line that has words and end at each later one, while they are no longer than two notices
-    full = files.select("row", F.filter(F.transform(F.split("text", "\n"), lambda s: F.array_join(words_of(s), " ")), lambda s: s != "").alias("lines"))
+    full = files.where(F.arrays_overlap(words_of(F.col("text")), F.array(*map(F.lit, notice)))).select("row", F.filter(F.transform(F.split("text", "\n"), lambda s: F.array_join(words_of(s), " ")), lambda s: s != "").alias("lines"))
     starts = full.select("row", "lines", F.posexplode("lines").alias("n", "s")).select("row", F.slice("lines", F.col("n") + 1, BLOCK_WORDS).alias("lines")).where(F.size("lines") > 1)
     blocks = starts.select("row", F.explode(F.transform(F.sequence(F.lit(2), F.size("lines")), lambda k: F.array_join(F.slice("lines", 1, k), " "))).alias("s"))
     blocks = blocks.where(F.size(F.split("s", " ")) <= BLOCK_WORDS).select("row", F.lit("line").alias("kind"), "s")
@@ -124,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     texts = docs.where("text is not null")
     idf, unseen = inverse_frequencies(texts)
     weights = template_weights(idf)
-    found = segments(texts.select("row", "text"), needed(weights))
+    found = segments(texts.select("row", "text"), needed(weights), needed(weights[:_NOTICES]))
     hits = found.select("row", "kind", "key").join(scores(found, idf, unseen, weights), "key")
     # the surest segment; at ties the file, then the first line, then the template that sorts first
     rank = F.struct("score", (F.col("kind") == "file").alias("f"), (F.col("kind") == "first").alias("s"))
