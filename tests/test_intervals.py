@@ -135,6 +135,33 @@ def test_distance_joins_of_a_sorted_list(spark):
     assert o.same_rows(o.reversed()) and [r.v for r in o.reversed().take(2).collect()] == [9, 8] and o.nth(3).first().v == 4 and o.drop(9).count() == 2
 
 
+def test_rows_that_repeat_stay_apart(spark):
+    us = spark.createDataFrame([("c", 0, 10, "+", 1)] * 3 + [("c", 50, 60, "+", 2)] * 2, "chrom string, start int, end int, strand string, id int")
+    vs = spark.createDataFrame([("c", 5, 6, "+"), ("c", 7, 8, "+"), ("c", 20, 21, "+")], "chrom string, start int, end int, strand string")
+    assert sorted((r.id, r["count"]) for r in R.map_r(us, vs).collect()) == [(1, 2)] * 3 + [(2, 0)] * 2
+    assert sorted(r.id for r in R.difference_r(us, vs).collect()) == [2, 2]
+    assert sorted((r.id, r.r_start) for r in J.upstream(us, vs, 2).collect()) == [(2, 7)] * 2 + [(2, 20)] * 2
+    assert sorted((r.id, r.r_start) for r in J.nearest(us, vs, 1).collect()) == [(1, 20)] * 3 + [(2, 20)] * 2
+
+
+def test_groups_with_missing_keys_stay_apart(spark):
+    s = spark.createDataFrame([("a", None, "x"), ("b", "x", None), ("c", "x|y", "z"), ("d", "x", "y|z"), ("e", "x", None)], "sid string, k string, l string")
+    rows = spark.createDataFrame([(n, "c", 0, 5, "", 0, "+") for n in "abcde"], "sid string, chrom string, start int, end int, name string, score int, strand string")
+    out = Dataset(s, rows).cover_s(lambda df, by: C.histo(df, C.at_least(1), by), "k", "l")
+    depth = {(r.k, r.l): r.htIndex for r in out.samples.join(out.regions, "sid").collect()}
+    assert depth == {(None, "x"): 1, ("x", None): 2, ("x|y", "z"): 1, ("x", "y|z"): 1}
+
+
+def test_consecutive_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(J, "STRETCH", 2)
+    df = spark.createDataFrame(list(enumerate("aabbbaac")), "at int, x string")
+    assert [r.x for r in R.distinct(df, "at").orderBy("at").collect()] == list("abac")
+    o = OrderedFrame(df, ("x",))
+    assert not o.is_ordered("at") and OrderedFrame(df, ("at",)).is_ordered("at") and not OrderedFrame(df, ("at",), True).is_ordered("at")
+    assert [(r.value, r["rows"][0].x) for r in o.extremes("at", "x").orderBy("x").collect()] == [(0, "a"), (2, "b"), (7, "c")]
+    assert {r.x: r.histogram for r in OrderedFrame(df.withColumn("y", df["at"] % 2), ("x",)).histogram("y").collect()} == {"a": {0: 2, 1: 2}, "b": {0: 2, 1: 1}, "c": {1: 1}}
+
+
 def test_semijoin_with_missing_values(spark):
     s = spark.createDataFrame([("a", "x", "p"), ("b", None, "p"), ("c", "x", None), ("d", "x", "q")], "sid string, cell string, tf string")
     ds = Dataset(s, spark.createDataFrame([], "sid string, chrom string, start int, end int, name string, score int, strand string"))

@@ -45,6 +45,10 @@ def combine(f: Agg, g: Agg, h: Callable[[Column, Column], Column]) -> Agg:
     return Agg(lambda c: h(f.on(c), g.on(c)))
 
 
+def combine_n(h: Callable[..., Column], *fs: Agg) -> Agg:
+    return Agg(lambda c: h(*(f.on(c) for f in fs)))
+
+
 def several(**aggs: Agg) -> Agg:
     """A struct of several aggregates, found in one pass."""
     return Agg(lambda c: F.struct(*(a.on(c).alias(n) for n, a in aggs.items())))
@@ -80,7 +84,7 @@ def collected(*names: str, order: str | None = None) -> Agg:
 
 
 def _extreme(x: Expr, names: tuple[str, ...], best) -> Agg:
-    """The extreme and all rows that attain it. Each map task keeps only rows at its own extreme's arrays; the rest is filtered behind."""
+    """The extreme and all rows that attain it, for groups of matches: a group's rows are gathered, then filtered. Where groups may be large use OrderedFrame.extremes."""
 
     def build(c: Ref) -> Column:
         value = best(resolve(x, c))

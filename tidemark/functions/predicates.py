@@ -109,9 +109,9 @@ def dgeq(n: float, whole: bool = True) -> Pred:
     return Pred(f"dgeq({n})", lambda v, u: _apart(v, u, whole) >= n)
 
 
-def szpercent(x: float) -> Pred:
-    """Both at least 0 and the larger below x times the smaller."""
-    return Pred(f"szpercent({x})", lambda v, u: (v.start >= 0) & (u.start >= 0) & (F.greatest(v.start, u.start) < F.least(v.start, u.start) * F.lit(float(x))), True)
+def szpercent(x: float, size: Callable[[Column], Column] = lambda c: c) -> Pred:
+    """Sizes at least 0 and the larger below x times the smaller. A number is its size; of strings, size is F.length."""
+    return Pred(f"szpercent({x})", lambda v, u: (size(v.start) >= 0) & (size(u.start) >= 0) & (F.greatest(size(v.start), size(u.start)) < F.least(size(v.start), size(u.start)) * F.lit(float(x))), True)
 
 
 # Intervals on a chromosome.
@@ -232,3 +232,22 @@ def minus_strand(strand: Column) -> Column:
 
 def between(lo: Pred, hi: Pred) -> Pred:
     return lo & hi
+
+
+def based_on_start(pred: Pred) -> Pred:
+    """pred between the starts alone."""
+    at = lambda s: Side(s.chrom, s.start, s.start, s.col)
+    return Pred(f"start {pred.name}", lambda v, u: pred(at(v), at(u)), pred.anti, pred.reach)
+
+
+def based_on_end(pred: Pred) -> Pred:
+    """pred between the ends alone."""
+    at = lambda s: Side(s.chrom, s.end, s.end, s.col)
+    return Pred(f"end {pred.name}", lambda v, u: pred(at(v), at(u)), pred.anti, pred.reach)
+
+
+can_see = near
+EQ, LT, LTEQ, GT, GTEQ = eq(), lt(), lteq(), gt(), gteq()
+SAME_CHROM, SAME_LOCUS, SAME_START, SAME_END, IS_BEFORE = same_chrom(), same_locus(), same_start(), same_end(), is_before()
+START_BEFORE, START_AFTER, END_BEFORE, END_AFTER, OVERLAP_START, OVERLAP_END = start_before(), start_after(), end_before(), end_after(), overlap_start(), overlap_end()
+INSIDE, ENCLOSE, TOUCH, OUTSIDE = inside(), enclose(), touch(), outside()

@@ -73,12 +73,11 @@ def _finish(df: DataFrame, source: DataFrame, by: tuple[str, ...], aggs: dict[st
     return regions.map_r(out, source, by, "accIndex", **aggs) if aggs else out
 
 
-def _islands(df: DataFrame, keys: list[str], *aggs: Column, reach: bool = False) -> DataFrame:
-    """Merges rows that touch the ones before; with reach, the furthest end so far."""
-    line = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)) if reach else F.lag("end").over(line)
-    own = df.withColumn("_b", before).withColumn("_new", F.when(F.col("_b").isNull() | (F.col("_b") < F.col("start")), 1).otherwise(0))
-    own = own.withColumn("_id", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+def _islands(df: DataFrame, keys: list[str], order: tuple[str, ...], *aggs: Column) -> DataFrame:
+    """Merges rows that meet those before them, in order of start and order. Ends and counts so far come in stretches of positions."""
+    own = joins.running(df, keys, "start", list(order), {"_b": F.col("end")}, best=True, own=False)
+    new = F.when(F.col("_b").isNull() | (F.col("_b") < F.col("start")), 1).otherwise(0)
+    own = joins.running(own, keys, "start", list(order), {"_id": new})
     return own.groupBy(*keys, "_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggs).drop("_id")
 
 
@@ -90,16 +89,15 @@ def histo(df: DataFrame, depth: Depth, by: tuple[str, ...] = (), stranded: bool
 def cover(df: DataFrame, depth: Depth, by: tuple[str, ...] = (), stranded: bool = True, **aggs: Agg) -> DataFrame:
     """Those stretches, merged where they touch; htIndex is the first one's."""
     fit = depths(df, by, stranded).where(depth(F.col("htIndex")))
-    return _finish(_islands(fit, _keys(by), F.min_by("htIndex", "start").alias("htIndex")), df, by, aggs)
+    return _finish(_islands(fit, _keys(by), (), F.min_by("htIndex", "start").alias("htIndex")), df, by, aggs)
 
 
 def summit(df: DataFrame, depth: Depth, by: tuple[str, ...] = (), stranded: bool = True, **aggs: Agg) -> DataFrame:
     """Those stretches that are deeper than the ones that they touch."""
     fit = depths(df, by, stranded).where(depth(F.col("htIndex")))
-    line = Window.partitionBy(*_keys(by)).orderBy("start")
-    beside = lambda f, touch: F.when(f(touch[0]).over(line) == F.col(touch[1]), f("htIndex").over(line)).otherwise(0)
-    own = fit.withColumn("_l", beside(F.lag, ("end", "start"))).withColumn("_r", beside(F.lead, ("start", "end")))
-    return _finish(own.where("htIndex > _l and htIndex > _r"), df, by, aggs)
+    own = joins.neighbours(fit, _keys(by), "start", ["start", "end", "htIndex"])
+    left, right = F.when(F.col("_left.end") == F.col("start"), F.col("_left.htIndex")), F.when(F.col("_right.start") == F.col("end"), F.col("_right.htIndex"))
+    return _finish(own.where(F.col("htIndex") > F.greatest(F.coalesce(left, F.lit(0)), F.coalesce(right, F.lit(0)))), df, by, aggs)
 
 
 def flat(df: DataFrame, depth: Depth, by: tuple[str, ...] = (), stranded: bool = True, **aggs: Agg) -> DataFrame:
@@ -108,14 +106,13 @@ def flat(df: DataFrame, depth: Depth, by: tuple[str, ...] = (), stranded: bool =
     own = _stranded(df, by, stranded)
     over = joins.pairs(fit, own, overlap(1), by=(*by, "strand"))
     hulls = over.groupBy(*_keys(by), F.col("start").alias("_at"), "htIndex").agg(F.min("r_start").alias("start"), F.max("r_end").alias("end"))
-    return _finish(_islands(hulls, _keys(by), F.min_by("htIndex", F.struct("start", "end", "_at")).alias("htIndex"), reach=True), df, by, aggs)
+    return _finish(_islands(hulls, _keys(by), ("end", "_at"), F.min_by("htIndex", F.struct("start", "end", "_at")).alias("htIndex")), df, by, aggs)
 
 
 def complement(df: DataFrame, by: tuple[str, ...] = (), stranded: bool = True) -> DataFrame:
     """Gaps between covered stretches of a chromosome."""
-    line = Window.partitionBy(*_keys(by)).orderBy("start")
-    own = depths(df, by, stranded).withColumn("_next", F.lead("start").over(line)).where("_next > end")
-    return _row(own.select(*_keys(by), F.col("end").alias("start"), F.col("_next").alias("end")), by)
+    own = joins.neighbours(depths(df, by, stranded), _keys(by), "start", ["start"]).where("_right.start > end")
+    return _row(own.select(*_keys(by), F.col("end").alias("start"), F.col("_right.start").alias("end")), by)
 
 
 def segments(df: DataFrame, by: tuple[str, ...] = (), stranded: bool = True, widest: bool = False) -> DataFrame:

@@ -62,6 +62,8 @@ def pairs(us: DataFrame, vs: DataFrame, *preds: Pred, by: tuple[str, ...] = (),
     right = prefixed(vs)
     if pred.reach is None:
         return us.join(right, cond, how)
+    if start == end and pred.reach == 0:  # points without a distance between them are equal
+        return us.join(right, cond & (u.start == v.start), how)
     width = width or bin_width(us, vs, start, end, pred.reach)
     left = us.withColumn("_bin", _bins(u.start - pred.reach, u.end + pred.reach, width))
     right = right.withColumn("r__bin", _bins(v.start, v.end, width))
@@ -69,19 +71,37 @@ def pairs(us: DataFrame, vs: DataFrame, *preds: Pred, by: tuple[str, ...] = (),
     return left.join(right, cond & (F.col("_bin") == F.col("r__bin")) & once, how).drop("_bin", "r__bin")
 
 
+def counted(us: DataFrame) -> DataFrame:
+    """Each distinct row of us once, and _copies. Rows are named by what they hold, so a stage that is run again names them alike."""
+    return us.groupBy(*us.columns).agg(F.count(F.lit(1)).alias("_copies"))
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Each row _copies times."""
+    return df.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies")
+
+
 def grouped(us: DataFrame, vs: DataFrame, *preds: Pred, aggs: dict, by: tuple[str, ...] = (), chrom: str | None = "chrom", start: str = "start", end: str = "end", width: int | None = None, having: Column | None = None) -> DataFrame:
     """Each row of us (repeats apart) with aggregates of its matches; rows without a match stay. aggs: name -> Agg over vs' columns.
 
     Aggregates see nulls where there is no match: to count matches, count the column _hit.
     """
-    ided = us.withColumn("_uid", F.monotonically_increasing_id())
     marked = vs.withColumn("_hit", F.lit(1))
-    joined = pairs(ided, marked, *preds, by=by, chrom=chrom, start=start, end=end, how="left", width=width)
+    joined = pairs(counted(us), marked, *preds, by=by, chrom=chrom, start=start, end=end, how="left", width=width)
     c = lambda n: F.col(RIGHT + n)
     cols = [a.on(c) for a in aggs.values()]
-    out = joined.groupBy("_uid", *us.columns).agg(*(x.alias(n) for n, x in zip(aggs, cols, strict=True)))
+    out = joined.groupBy("_copies", *us.columns).agg(*(x.alias(n) for n, x in zip(aggs, cols, strict=True)))
     out = out.where(having) if having is not None else out
-    return out.drop("_uid")
+    return repeated(out).select(*us.columns, *aggs)
+
+
+def without(us: DataFrame, vs: DataFrame, *preds: Pred, by: tuple[str, ...] = (), chrom: str | None = "chrom", start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
+    """Rows of us that no row of vs matches. Rows that have a match are told by what they hold; no match is counted."""
+    hit = prefixed(pairs(us, vs, *preds, by=by, chrom=chrom, start=start, end=end, width=width).select(*us.columns).distinct(), "h_")
+    same = F.lit(True)
+    for c in us.columns:
+        same = same & F.col(c).eqNullSafe(F.col("h_" + c))
+    return us.join(hit, same, "left_anti")
 
 
 def matches(us: DataFrame, vs: DataFrame, *preds: Pred, names: tuple[str, ...], into: str = "matches", **how) -> DataFrame:
@@ -92,6 +112,19 @@ def matches(us: DataFrame, vs: DataFrame, *preds: Pred, names: tuple[str, ...],
     return grouped(us, vs, *preds, aggs={into: rows}, **how)
 
 
+def landmark_pairs(marks: DataFrame, us: DataFrame, vs: DataFrame, see: Pred, *preds: Pred, key: tuple[str, ...], where: Column | None = None) -> DataFrame:
+    """Pairs of a row of us and one of vs that see the same landmark and fit preds. marks' columns, us' with prefix u_, vs' with prefix v_.
+
+    Rows meet on the landmark's key, by equality; where screens pairs.
+    """
+    seen = pairs(marks, us, see).select(*marks.columns, *(F.col(RIGHT + c).alias("u_" + c) for c in us.columns))
+    also = pairs(marks, vs, see).select(*(F.col(k).alias("_k_" + k) for k in key), *(F.col(RIGHT + c).alias("v_" + c) for c in vs.columns))
+    cond = requires(*preds)(side("v_"), side("u_"))
+    for k in key:
+        cond = cond & (F.col(k) == F.col("_k_" + k))
+    return seen.join(also, cond if where is None else cond & where).drop(*("_k_" + k for k in key))
+
+
 def star(us: DataFrame, key: tuple[str, ...], **sides: DataFrame) -> DataFrame:
     """us with the results of several left-grouped joins, each made from us by itself; they meet on us' key, so matches never multiply. sides: name -> result of matches() or grouped()."""
     out = us
@@ -115,29 +148,41 @@ def ratio_pairs(us: DataFrame, vs: DataFrame, key: str, x: float, *screens: Pred
     return left.join(right, cond).drop("_bin", "r__bin")
 
 
-def running(df: DataFrame, keys: list[str], pos: str, order: list, value: Column, into: str, stretch: int = STRETCH, best: bool = False) -> DataFrame:
-    """df and the sum (best: the maximum) of value over rows of its keys up to its own in order of pos, then order.
+def running(df: DataFrame, keys: list[str], pos: str, order: list, into: dict[str, Column], stretch: float = STRETCH, best: bool = False, own: bool = True) -> DataFrame:
+    """df and for each name of into the sum (best: the maximum) of its value over rows of the same keys up to a row in order of pos, then order; own: the row's too.
 
     Summed in stretches of positions; a stretch's rows are one window, and the stretches before come from a table of
     one row a stretch, so no task holds a whole key.
     """
-    cut = F.floor(F.col(pos) / stretch)
-    own = df.withColumn("_stretch", cut).withColumn("_value", value)
     gather = F.max if best else F.sum
-    sums = own.groupBy(*keys, "_stretch").agg(gather("_value").alias("_sum"))
+    cut = df.withColumns({"_stretch": F.floor(F.col(pos) / stretch)} | {f"_value_{n}": v for n, v in into.items()})
+    sums = cut.groupBy(*keys, "_stretch").agg(*(gather(f"_value_{n}").alias(f"_sum_{n}") for n in into))
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_stretch", gather("_sum").over(before).alias("_before"))
-    inside = Window.partitionBy(*keys, "_stretch").orderBy(pos, *order).rowsBetween(Window.unboundedPreceding, 0)
-    out = own.withColumn("_inside", gather("_value").over(inside)).join(sums, [*keys, "_stretch"])
-    both = F.greatest("_inside", "_before") if best else F.col("_inside") + F.coalesce("_before", F.lit(0))
-    return out.withColumn(into, both).drop("_stretch", "_value", "_inside", "_before")
+    sums = sums.select(*keys, "_stretch", *(gather(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in into))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(pos, *order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    out = cut.withColumns({f"_inside_{n}": gather(f"_value_{n}").over(inside) for n in into}).join(sums, [*keys, "_stretch"])
+    zero = F.lit(0)
+    both = {n: F.greatest(f"_inside_{n}", f"_before_{n}") if best else F.coalesce(f"_inside_{n}", zero) + F.coalesce(f"_before_{n}", zero) for n in into}
+    return out.withColumns(both).select(*df.columns, *into)
+
+
+def neighbours(df: DataFrame, keys: list[str], pos: str, names: list[str], order: tuple[str, ...] = (), stretch: float = STRETCH) -> DataFrame:
+    """df and _left, _right: structs of names of the rows before and after in order of pos, then order; null at the ends. In stretches, as running."""
+    row, place = F.struct(*names), F.struct(pos, *order)
+    own = df.withColumn("_stretch", F.floor(F.col(pos) / stretch))
+    ends = own.groupBy(*keys, "_stretch").agg(F.min_by(row, place).alias("_first"), F.max_by(row, place).alias("_last"))
+    line = Window.partitionBy(*keys).orderBy("_stretch")
+    ends = ends.select(*keys, "_stretch", F.lag("_last").over(line).alias("_before"), F.lead("_first").over(line).alias("_after"))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(pos, *order)
+    out = own.withColumn("_l", F.lag(row).over(inside)).withColumn("_r", F.lead(row).over(inside)).join(ends, [*keys, "_stretch"])
+    return out.select(*df.columns, F.coalesce("_l", "_before").alias("_left"), F.coalesce("_r", "_after").alias("_right"))
 
 
 def _ranked(us: DataFrame, vs: DataFrame, keys: list[str], u_pos: str, v_pos: str, v_first: bool, ties: list[Column]) -> tuple[DataFrame, DataFrame]:
     """us with _n, the rows of vs before its position (at it too, if v_first), and vs with its rank _k from 1."""
     left = us.select(*keys, F.col(u_pos).alias("_pos"), F.lit(1 if v_first else 0).alias("_kind"), F.struct(*us.columns).alias("_u"), F.lit(None).cast(vs.select(F.struct(*vs.columns)).schema[0].dataType).alias("_v"), F.lit(0).alias("_one"))
     right = vs.select(*keys, F.col(v_pos).alias("_pos"), F.lit(0 if v_first else 1).alias("_kind"), F.lit(None).cast(us.select(F.struct(*us.columns)).schema[0].dataType).alias("_u"), F.struct(*vs.columns).alias("_v"), F.lit(1).alias("_one"))
-    every = running(left.union(right), keys, "_pos", ["_kind", *ties], F.col("_one"), "_n")
+    every = running(left.union(right), keys, "_pos", ["_kind", *ties], {"_n": F.col("_one")})
     return every.where("_one = 0").select("_u.*", "_n"), every.where("_one = 1").select("_v.*", F.col("_n").alias("_k"))
 
 
@@ -170,21 +215,23 @@ def _by_rank(own: DataFrame, others: DataFrame, keys: list[str], n: int, up: boo
 def upstream(us: DataFrame, vs: DataFrame, n: int = 1, by: tuple[str, ...] = (), stranded: bool = True) -> DataFrame:
     """Of each row of us, and with prefix r_, the last n of vs in order of locus that end before it starts. Rows without one are left out.
 
-    n 1 is a running maximum; more are ranked among all that end before.
+    The last is a running maximum. Where a row meets the maximum so far, the lesser of the two drops out of
+    that race, and the second is the running maximum of those that dropped out; so on to the n-th.
     """
     keys = [*by, "chrom", "_class"]
-    own, others = _classes(us.withColumn("_uid", F.monotonically_increasing_id()), vs, stranded)
+    own, others = _classes(counted(us), vs, stranded)
     names = ["start", "end", *(c for c in vs.columns if c not in ("start", "end"))]
-    if n == 1:
-        u_type, v_type = own.select(F.struct(*own.columns)).schema[0].dataType, others.select(F.struct(*names)).schema[0].dataType
-        left = own.select(*keys, F.col("start").alias("_pos"), F.lit(0).alias("_kind"), F.struct(*own.columns).alias("_u"), F.lit(None).cast(v_type).alias("_v"))
-        right = others.select(*keys, F.col("end").alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast(u_type).alias("_u"), F.struct(*names).alias("_v"))
-        every = running(left.union(right), keys, "_pos", ["_kind"], F.col("_v"), "_last", best=True)
-        found = every.where("_kind = 0 and _last is not null").select("_u.*", "_last")
-        return found.select(*us.columns, *(F.col(f"_last.{c}").alias(RIGHT + c) for c in vs.columns))
-    joined = pairs(own, others, Pred("before", lambda v, u: (v.end < u.start) & (v.col("_class") == u.col("_class"))), by=by)
-    w = Window.partitionBy("_uid").orderBy(F.desc("r_start"), F.desc("r_end"), *(F.desc(RIGHT + c) for c in names[2:]))
-    return joined.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n", "_uid", "_class", "r__class")
+    u_type, v_type = own.select(F.struct(*own.columns)).schema[0].dataType, others.select(F.struct(*names)).schema[0].dataType
+    left = own.select(*keys, F.col("start").alias("_pos"), F.lit(0).alias("_kind"), F.struct(*own.columns).alias("_u"), F.lit(None).cast(v_type).alias("_v"))
+    right = others.select(*keys, F.col("end").alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast(u_type).alias("_u"), F.struct(*names).alias("_v"))
+    every, tie = left.union(right), F.xxhash64("_v")
+    for k in range(n):
+        every = running(every, keys, "_pos", ["_kind", tie], {f"_last{k}": F.col("_v")}, best=True)
+        if k + 1 < n:
+            every = running(every, keys, "_pos", ["_kind", tie], {"_before": F.col("_v")}, best=True, own=False)
+            every = every.withColumn("_v", F.when(F.col("_before").isNotNull() & F.col("_v").isNotNull(), F.least("_v", "_before"))).drop("_before")
+    found = every.where("_kind = 0").select("_u.*", F.explode(F.array(*(f"_last{k}" for k in range(n)))).alias("_last")).where("_last is not null")
+    return repeated(found.select(*us.columns, "_copies", *(F.col(f"_last.{c}").alias(RIGHT + c) for c in vs.columns)))
 
 
 def downstream(us: DataFrame, vs: DataFrame, n: int = 1, by: tuple[str, ...] = (), stranded: bool = True) -> DataFrame:
@@ -199,17 +246,17 @@ def nearest(us: DataFrame, vs: DataFrame, n: int = 1, by: tuple[str, ...] = (),
     The n nearest are among the n before and the n behind, which are found by rank.
     """
     keys = [*by, "chrom", "_class"]
-    own, others = _classes(us.withColumn("_uid", F.monotonically_increasing_id()), vs, stranded)
+    own, others = _classes(counted(us), vs, stranded)
     found = _by_rank(own, others, keys, n, True).unionByName(_by_rank(own, others, keys, n, False))
-    w = Window.partitionBy("_uid").orderBy(F.greatest(F.col("r_start") - F.col("end"), F.col("start") - F.col("r_end")), "r_start", "r_end", *(RIGHT + c for c in vs.columns if c not in ("start", "end")))
-    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n", "_uid", "_class")
+    w = Window.partitionBy(*us.columns).orderBy(F.greatest(F.col("r_start") - F.col("end"), F.col("start") - F.col("r_end")), "r_start", "r_end", *(RIGHT + c for c in vs.columns if c not in ("start", "end")))
+    return repeated(found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)).drop("_n", "_class")
 
 
-def nearest_of(joined: DataFrame, uid: str, n: int, vs_columns: list[str], ties: bool = False, include_overlap: bool = False) -> DataFrame:
-    """Of pairs (prefix r_), the n nearest of each uid. ties: all at the n-th distance; include_overlap: what overlaps or touches has distance 0."""
+def nearest_of(joined: DataFrame, us_columns: list[str], n: int, vs_columns: list[str], ties: bool = False, include_overlap: bool = False) -> DataFrame:
+    """Of pairs (prefix r_), the n nearest of each row of us. ties: all at the n-th distance; include_overlap: what overlaps or touches has distance 0."""
     gap = F.greatest(F.col("r_start") - F.col("end"), F.col("start") - F.col("r_end"), F.lit(0))
     rows = joined if include_overlap else joined.where((F.col("r_end") < F.col("start")) | (F.col("r_start") > F.col("end")))
     rows = rows.withColumn("_gap", gap)
     order = ["_gap"] if ties else ["_gap", "r_start", "r_end", *(RIGHT + c for c in vs_columns if c not in ("start", "end"))]
-    w = Window.partitionBy(uid).orderBy(*order)
+    w = Window.partitionBy(*us_columns).orderBy(*order)
     return rows.withColumn("_n", (F.rank() if ties else F.row_number()).over(w)).where(F.col("_n") <= n).drop("_n", "_gap")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggs import Agg, collected
-from ..functions.predicates import Pred
+from ..functions.predicates import Pred, Side, antimonotonic
 from . import joins
 
 
@@ -69,12 +69,15 @@ class OrderedFrame:
     def rows(self) -> DataFrame:
         return self.df.orderBy(*self._order())
 
-    def is_ordered(self, position: str) -> Column | bool:
-        """Whether the key doesn't fall in order of position (a column that says how rows lie)."""
-        w = Window.orderBy(position)
-        key, before = F.struct(*self.keys), F.lag(F.struct(*self.keys)).over(w)
+    def is_ordered(self, position: str) -> bool:
+        """Whether the key doesn't fall in order of position (a number that says how rows lie)."""
+        before, key = F.col("_left"), F.struct(*self.keys)
         ok = before.isNull() | ((key <= before) if self.descending else (before <= key))
-        return bool(self.df.select(ok.alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True))).first()[0])
+        return bool(joins.neighbours(self.df.select(position, *(k for k in self.keys if k != position)), [], position, list(self.keys)).agg(F.coalesce(F.bool_and(ok), F.lit(True))).first()[0])
+
+    def sorted_if_needed(self, position: str) -> OrderedFrame:
+        """Itself where rows lie in order of the key already, else with rows in that order."""
+        return self if self.is_ordered(position) else self._with(self.rows())
 
     def merged_with(self, *others: OrderedFrame) -> OrderedFrame:
         return self._with(reduce(lambda a, b: a.unionByName(b), [o.df for o in others], self.df))
@@ -97,6 +100,17 @@ class OrderedFrame:
     def clustered_fold(self, **aggs: Agg) -> DataFrame:
         return self.df.groupBy(*self.keys).agg(*(a.on().alias(n) for n, a in aggs.items()))
 
+    def extremes(self, x: str, *names: str, most: bool = False, into: str = "rows") -> DataFrame:
+        """Of each key the least (most: the greatest) x as value, and the named columns of all rows that attain it. Only those rows are gathered."""
+        best = (F.max if most else F.min)(x).alias("value")
+        found = self.df.join(self.df.groupBy(*self.keys).agg(best), list(self.keys)).where(F.col(x) == F.col("value"))
+        return found.groupBy(*self.keys, "value").agg(collected(*names).on().alias(into))
+
+    def histogram(self, x: str, into: str = "histogram") -> DataFrame:
+        """Of each key, how often each value of x occurs, as a map. Counted before it is gathered."""
+        counts = self.df.where(F.col(x).isNotNull()).groupBy(*self.keys, x).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.groupBy(*self.keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(x, "_n")))).alias(into))
+
     def distinct_keys(self) -> DataFrame:
         return self.df.select(*self.keys).distinct()
 
@@ -113,11 +127,11 @@ class OrderedFrame:
     def ahead(self, name: str, n: int = 1, by: tuple[str, ...] = (), into: str = "next") -> OrderedFrame:
         return self._with(self.df.withColumn(into, F.lead(name, n).over(Window.partitionBy(*by).orderBy(*self._order()))))
 
-    # Joins with another collection by the (one) key.
+    # Joins with another collection by the key: one number or string, or the two ends of an interval.
 
     def join(self, other: OrderedFrame) -> Joined:
-        if len(self.keys) != 1 or len(other.keys) != 1:
-            raise ValueError("a join needs one key column on each side")
+        if len(self.keys) != len(other.keys) or len(self.keys) > 2:
+            raise ValueError("a join needs one key column on each side, or two")
         return Joined(self, other)
 
 
@@ -133,10 +147,12 @@ class Joined:
         """
         if not any(p.anti for p in preds):
             raise ValueError("one predicate at least must be antimonotonic")
-        key = self.us.keys[0]
-        others = self.vs.df.withColumnRenamed(self.vs.keys[0], key) if self.vs.keys[0] != key else self.vs.df
+        start, end = self.us.keys[0], self.us.keys[-1]
+        others = self.vs.df.withColumnsRenamed({v: u for u, v in zip(self.us.keys, self.vs.keys, strict=True) if u != v})
         screens = [Pred("where", lambda v, u: where())] if where else []
-        out = joins.matches(self.us.df, others, *preds, *screens, names=names, into=into, by=by, chrom=None, start=key, end=key)
+        out = joins.matches(self.us.df, others, *preds, *screens, names=names, into=into, by=by, chrom=None, start=start, end=end)
         return out.withColumn(into, F.slice(into, 1, first)) if first else out
 
-    using = on
+    def using(self, test: Callable[[Side, Side], Column], names: tuple[str, ...], reach: float | None = None, **how) -> DataFrame:
+        """The same by any function of a right and a left row. reach: how far apart rows that fit may lie, if there is a bound."""
+        return self.on(antimonotonic(test, reach), names=names, **how)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import Agg, count
@@ -87,7 +87,7 @@ def difference_r(us: DataFrame, *others: DataFrame, by: By = (), exact: bool = F
         for k in by:
             cond = cond & (F.col(k) == F.col(joins.RIGHT + k))
         return us.join(v, cond, "left_anti")
-    return joins.grouped(us, vs, overlap(1), same_strand(), aggs={"_n": count("_hit")}, by=by, width=width, having=F.col("_n") == 0).drop("_n")
+    return joins.without(us, vs, overlap(1), same_strand(), by=by, width=width)
 
 
 # Outputs of joins: from a row of us and one with prefix r_.
@@ -137,13 +137,12 @@ def sort(df: DataFrame, by: By = ()) -> DataFrame:
     return df.orderBy(*by, "chrom", "start", "end")
 
 
-def distinct(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Without whole rows that repeat; with an order, only those that follow their equal in it."""
-    if order is None:
+def distinct(df: DataFrame, position: str | None = None) -> DataFrame:
+    """Without whole rows that repeat; with a position (a number that says how rows lie), without those that repeat the row before in all other columns."""
+    if position is None:
         return df.distinct()
-    w = Window.orderBy(*order)
-    row = F.struct(*df.columns)
-    return df.withColumn("_before", F.lag(row).over(w)).where(~row.eqNullSafe(F.col("_before"))).drop("_before")
+    names = [c for c in df.columns if c != position]
+    return joins.neighbours(df, [], position, names).where(~F.struct(*names).eqNullSafe(F.col("_left"))).drop("_left", "_right")
 
 
 def sort_distinct(df: DataFrame, by: By = ()) -> DataFrame:
@@ -184,18 +183,16 @@ def join_r(us: DataFrame, vs: DataFrame, *preds: Pred, by: By = (), output: Outp
 
 def inner_nearest_r(us: DataFrame, vs: DataFrame, *preds: Pred, n: int = 1, by: By = (), ties: bool = False, include_overlap: bool = False, output: Output | None = None, ordering: Callable[[DataFrame], DataFrame] = none) -> DataFrame:
     """Of the pairs that fit all preds, the n nearest of each row of us."""
-    own = us.withColumn("_uid", F.monotonically_increasing_id())
-    found = joins.nearest_of(joins.pairs(own, vs, *preds, same_strand(), by=by), "_uid", n, vs.columns, ties, include_overlap)
-    return _put(found, us, vs, by, output or both(), ordering)
+    found = joins.nearest_of(joins.pairs(joins.counted(us), vs, *preds, same_strand(), by=by), us.columns, n, vs.columns, ties, include_overlap)
+    return _put(joins.repeated(found), us, vs, by, output or both(), ordering)
 
 
 def outer_nearest_r(us: DataFrame, vs: DataFrame, drive: Pred, *screens: Pred, n: int = 1, by: By = (), ties: bool = False, include_overlap: bool = False, output: Output | None = None, ordering: Callable[[DataFrame], DataFrame] = none) -> DataFrame:
     """The n nearest of each row of us among those that fit drive; of them, those that fit screens."""
-    own = us.withColumn("_uid", F.monotonically_increasing_id())
-    found = joins.nearest_of(joins.pairs(own, vs, drive, same_strand(), by=by), "_uid", n, vs.columns, ties, include_overlap)
+    found = joins.nearest_of(joins.pairs(joins.counted(us), vs, drive, same_strand(), by=by), us.columns, n, vs.columns, ties, include_overlap)
     for s in screens:
         found = found.where(s(joins.side(joins.RIGHT), joins.side()))
-    return _put(found, us, vs, by, output or both(), ordering)
+    return _put(joins.repeated(found), us, vs, by, output or both(), ordering)
 
 
 def nearest_r(us: DataFrame, vs: DataFrame, n: int = 1, by: By = (), output: Output | None = None, how: Callable = joins.nearest) -> DataFrame:

@@ -18,6 +18,34 @@ from .joins import RIGHT, prefixed
 SID = ("sid",)
 
 
+def named(*keys: str) -> Column:
+    """A name of the keys' values, joined by bars; null is \\N, and bars and backslashes in values are escaped, so no two lists share one."""
+    return F.concat_ws("|", *(F.coalesce(F.regexp_replace(F.col(k).cast("string"), r"([\\|])", r"\\$1"), F.lit("\\N")) for k in keys))
+
+
+# Metadata of a pair of samples, from the columns of one and of the other (prefix r_).
+
+SampleOutput = Callable[[list[str], list[str]], list[Column]]
+
+
+def keep_left(us: list[str], vs: list[str]) -> list[Column]:
+    return [F.col(c) for c in us]
+
+
+def keep_right(us: list[str], vs: list[str]) -> list[Column]:
+    return [F.col(RIGHT + c).alias(c) for c in vs]
+
+
+def overwrite(rename: Callable[[str], str] = lambda n: RIGHT + n) -> SampleOutput:
+    """Both; the other's are renamed, and hide what has the same name."""
+
+    def out(us: list[str], vs: list[str]) -> list[Column]:
+        new = {rename(c): F.col(RIGHT + c).alias(rename(c)) for c in vs}
+        return [*(F.col(c) for c in us if c not in new), *new.values()]
+
+    return out
+
+
 @dataclass(frozen=True)
 class Dataset:
     samples: DataFrame
@@ -75,8 +103,8 @@ class Dataset:
         return replace(self, samples=self.samples.withColumns({n: a.over(w) for n, a in aggs.items()}))
 
     def cover_s(self, f: Callable[[DataFrame, tuple[str, ...]], DataFrame], *keys: str) -> Dataset:
-        """A sample a group of equal keys (one of all without keys), whose regions are f of the group's; metadata are the keys. sid is the keys joined by a bar."""
-        name = F.concat_ws("|", *(F.col(k).cast("string") for k in keys)) if keys else F.lit("all")
+        """A sample a group of equal keys (one of all without keys), whose regions are f of the group's; metadata are the keys. sid names the keys' values; null keys are equal."""
+        name = named(*keys) if keys else F.lit("all")
         own = self.samples.select(F.col("sid").alias("_old"), name.alias("sid"), *keys)
         rows = self.regions.withColumnRenamed("sid", "_old").join(own.select("_old", "sid"), "_old").drop("_old")
         return Dataset(own.drop("_old").distinct(), f(rows, SID))
@@ -102,19 +130,20 @@ class Dataset:
             cond = cond & (F.col(k) == F.col(RIGHT + k))
         return self.samples.join(t, cond)
 
-    def join_s(self, other: Dataset, joinby: tuple[str, ...] = (), on_region: Callable[[DataFrame, DataFrame, tuple[str, ...]], DataFrame] | None = None, on: Callable[[], Column] | None = None) -> Dataset:
-        """A sample a joinable pair: sid is the pair's; regions by on_region, by default pairs that overlap."""
+    def join_s(self, other: Dataset, joinby: tuple[str, ...] = (), on_region: Callable[[DataFrame, DataFrame, tuple[str, ...]], DataFrame] | None = None, on: Callable[[], Column] | None = None, on_sample: SampleOutput | None = None) -> Dataset:
+        """A sample a joinable pair: sid names the pair; regions by on_region, by default pairs that overlap; metadata by on_sample, by default both."""
         from ..functions.predicates import overlap
 
         make = on_region or (lambda u, v, by: regions.join_r(u, v, overlap(1), by=by))
-        met = self.paired(other, joinby, on).withColumn("_pair", F.concat_ws("|", "sid", "r_sid"))
+        met = self.paired(other, joinby, on).withColumn("_pair", named("sid", "r_sid"))
         u = self.regions.join(met.select("sid", "_pair"), "sid").drop("sid").withColumnRenamed("_pair", "sid")
         v = other.regions.join(met.select(F.col("r_sid").alias("sid"), "_pair"), "sid").drop("sid").withColumnRenamed("_pair", "sid")
-        return Dataset(met.drop("sid").withColumnRenamed("_pair", "sid"), make(u, v, SID))
+        meta = lambda ds: [c for c in ds.samples.columns if c != "sid"]
+        return Dataset(met.select(F.col("_pair").alias("sid"), *(on_sample or overwrite())(meta(self), meta(other))), make(u, v, SID))
 
     def map_s(self, other: Dataset, joinby: tuple[str, ...] = (), counter: str = "count", on: Callable[[], Column] | None = None, **aggs: Agg) -> Dataset:
-        """A sample a joinable pair: its own regions, with the number of the other's that overlap and aggregates of them."""
-        return self.join_s(other, joinby, lambda u, v, by: regions.map_r(u, v, by, counter, **aggs), on)
+        """A sample a joinable pair: its own metadata and regions, with the number of the other's that overlap and aggregates of them."""
+        return self.join_s(other, joinby, lambda u, v, by: regions.map_r(u, v, by, counter, **aggs), on, keep_left)
 
     def difference_s(self, other: Dataset, joinby: tuple[str, ...] = (), exact: bool = False, on: Callable[[], Column] | None = None) -> Dataset:
         """Each sample's regions without those that overlap one of any joinable sample. Without a joinable one: unchanged."""

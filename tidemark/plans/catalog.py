@@ -49,6 +49,15 @@ _STRAND = "(v.strand = u.strand or v.strand = '.' or u.strand = '.')"
 _GAP = 'greatest(v.start - u."end", u.start - v."end", 0)'
 
 
+#: Loci that many intervals share: starts and lengths are multiples of 200.
+_COARSE = """, co as (select chrom, cast(floor(start / 200) as int) * 200 as start, cast(floor(start / 200) as int) * 200 + 200 * (1 + cast(floor(score / 200) as int)) as "end", name, score, strand, id, sid from iv) """
+
+
+def coarse(df: DataFrame) -> DataFrame:
+    start = (F.floor(F.col("start") / 200) * 200).cast("int")
+    return df.withColumns({"start": start, "end": start + 200 * (1 + F.floor(F.col("score") / 200).cast("int"))})
+
+
 def _track(spark: SparkSession, sf_dir: str, *sids: str) -> DataFrame:
     return intervals(spark, sf_dir).where(F.col("sid").isin(*sids)).drop("sid")
 
@@ -79,9 +88,9 @@ def _difference(spark, d):
     return R.difference_r(_track(spark, d, "purchase"), _track(spark, d, "error"), _track(spark, d, "view"))
 
 
-@query("difference_exact", f"""select u.* exclude (sid) from iv u where u.id % 2 = 0 and not exists (select 1 from iv v where v.id % 2 = 1 and {_STRAND} and v.chrom = u.chrom and v.start = u.start and v."end" = u."end" and u.start < u."end")""")
+@query("difference_exact", f"""--with{_COARSE[1:]} select u.* exclude (sid) from co u where u.id % 2 = 0 and not exists (select 1 from co v where v.id % 2 = 1 and {_STRAND} and v.chrom = u.chrom and v.start = u.start and v."end" = u."end")""")
 def _difference_exact(spark, d):
-    iv = intervals(spark, d).drop("sid")
+    iv = coarse(intervals(spark, d)).drop("sid")
     return R.difference_r(iv.where("id % 2 = 0"), iv.where("id % 2 = 1"), exact=True)
 
 
@@ -102,22 +111,25 @@ query("join_overlap_both", f'select {_U}, v.id as r_id, v.chrom as r_chrom, v.st
 query("join_overlap_cat", f'select u.chrom, least(u.start, v.start) as start, greatest(u."end", v."end") as "end", u.name, u.score, u.strand, u.id, v.id as r_id {_JOINED}')(_join(R.hull()))
 
 
-def _pair_query(name: str, test: str, *preds: K.Pred, u: str = "purchase", v: str = "error"):
+def _pair_query(name: str, test: str, *preds: K.Pred, u: str = "purchase", v: str = "error", wide: bool = False):
+    of = coarse if wide else lambda df: df
+
     def f(spark, d):
-        out = J.pairs(_track(spark, d, u), _track(spark, d, v), *preds)
+        out = J.pairs(of(_track(spark, d, u)), of(_track(spark, d, v)), *preds)
         return out.select("id", "r_id", "start", "end", "r_start", "r_end")
 
-    query(name, f"""select u.id, v.id as r_id, u.start, u."end", v.start as r_start, v."end" as r_end from iv u join iv v on {test} where u.sid = '{u}' and v.sid = '{v}'""")(f)
+    t = "co" if wide else "iv"
+    query(name, ("--with" + _COARSE[1:] if wide else "") + f"""select u.id, v.id as r_id, u.start, u."end", v.start as r_start, v."end" as r_end from {t} u join {t} v on {test} where u.sid = '{u}' and v.sid = '{v}'""")(f)
 
 
 _SAME = "v.chrom = u.chrom"
 _pair_query("join_near", f"{_SAME} and {_GAP} <= 25", K.near(25))
 _pair_query("join_overlap_20", f'{_OVER} and least(v."end", u."end") - greatest(v.start, u.start) >= 20', K.overlap(20))
-_pair_query("join_touch", f'{_SAME} and (v."end" = u.start or u."end" = v.start)', K.near(0), K.touch(), v="view")
+_pair_query("join_touch", f'{_SAME} and (v."end" = u.start or u."end" = v.start)', K.near(0), K.touch(), v="view", wide=True)
 _pair_query("join_inside", f'{_SAME} and u.start <= v.start and v."end" <= u."end"', K.overlap(0, strict=False), K.inside(), v="view")
 _pair_query("join_enclose", f'{_SAME} and v.start <= u.start and u."end" <= v."end"', K.overlap(0, strict=False), K.enclose(), v="view")
 _pair_query("join_far_within", f"{_SAME} and {_GAP} <= 60 and {_GAP} >= 20", K.near(60), K.far(20))
-_pair_query("join_same_start", f"{_SAME} and v.start = u.start", K.same_start(), v="view")
+_pair_query("join_same_start", f"{_SAME} and v.start = u.start", K.same_start(), v="view", wide=True)
 _pair_query("join_overlap_start", f'{_SAME} and v.start <= u.start and u.start <= v."end"', K.overlap_start())
 _pair_query("join_overlap_end", f'{_SAME} and v.start <= u."end" and u."end" <= v."end" and {_GAP} = 0', K.near(0), K.overlap_end())
 _pair_query("join_upstream_within", f'{_SAME} and v."end" < u.start and {_GAP} < 40', K.interval_dl(40), K.end_before())
@@ -164,22 +176,22 @@ query("nearest_inner", f"select id, r_id from (select u.id, v.id as r_id, row_nu
 query("nearest_outer", f"select id, r_id from (select u.id, v.id as r_id, v.score > u.score as ok, row_number() over (partition by u.id order by {_GAP}, {_LOCUS}, {_REST}) as k from iv u join iv v on {_NEAR80}) where k = 1 and ok")(_screened(R.outer_nearest_r))
 
 
-@query("nearest_ties", f"""select id, r_id from (select u.id, v.id as r_id, rank() over (partition by u.id order by {_GAP}) as k from iv u join iv v on {_SAME} and {_STRAND} and {_GAP} <= 100 where u.sid = 'purchase' and v.sid = 'error') where k <= 2""")
+@query("nearest_ties", f"""select id, r_id from (select u.id, v.id as r_id, rank() over (partition by u.id order by {_GAP}) as k from iv u join iv v on {_SAME} and {_STRAND} and {_GAP} <= 100 where u.sid = 'purchase' and v.sid = 'view') where k <= 2""")
 def _ties(spark, d):
-    return R.inner_nearest_r(_track(spark, d, "purchase"), _track(spark, d, "error"), K.near(100), n=2, ties=True, include_overlap=True).select("id", "r_id")
+    return R.inner_nearest_r(_track(spark, d, "purchase"), _track(spark, d, "view"), K.near(100), n=2, ties=True, include_overlap=True).select("id", "r_id")
 
 
 # Groups of loci; rows.
 
 
-@query("partition_by_locus", """select chrom, start, "end", '' as name, 0 as score, '.' as strand, count(*) as n, max(score) as biggest from iv group by chrom, start, "end" """)
+@query("partition_by_locus", f"""--with{_COARSE[1:]} select chrom, start, "end", '' as name, 0 as score, '.' as strand, count(*) as n, max(score) as biggest from co group by chrom, start, "end" """)
 def _partition(spark, d):
-    return R.partition_r(intervals(spark, d), n=A.count(), biggest=A.biggest("score"))
+    return R.partition_r(coarse(intervals(spark, d)), n=A.count(), biggest=A.biggest("score"))
 
 
-@query("partition_by_locus_strand", """select chrom, start, "end", '' as name, 0 as score, '.' as strand, i.strand as "group", count(*) as n from iv i group by chrom, start, "end", i.strand""")
+@query("partition_by_locus_strand", f"""--with{_COARSE[1:]} select chrom, start, "end", '' as name, 0 as score, '.' as strand, i.strand as "group", count(*) as n from co i group by chrom, start, "end", i.strand""")
 def _partition_strand(spark, d):
-    return R.partition_r(intervals(spark, d), group=F.col("strand"), n=A.count())
+    return R.partition_r(coarse(intervals(spark, d)), group=F.col("strand"), n=A.count())
 
 
 @query("project_extend", """select chrom, start + 5 as start, "end" + 5 as "end", name, score, strand, "end" - start as size, score * 2.0 as twice from iv where strand <> '-' and score > 10""")
@@ -200,9 +212,9 @@ def _end_points(spark, d):
     return R.union_r(R.chrom_start(iv), R.chrom_end(iv))
 
 
-@query("distinct_consecutive", """select chrom, start, strand from (select chrom, start, strand, lag(chrom || '/' || start || strand) over (order by chrom, start, strand) as b from iv) where b is null or b <> chrom || '/' || start || strand""")
+@query("distinct_consecutive", """select event_id, event_type, props from (select *, lag(event_type) over w as t, lag(props) over w as p from (select event_id, event_type, user_id % 2 as props from events) window w as (order by event_id)) where t is null or t <> event_type or p <> props""", view=False)
 def _distinct(spark, d):
-    return R.distinct(intervals(spark, d).select("chrom", "start", "strand"), ["chrom", "start", "strand"])
+    return R.distinct(read(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 2).alias("props")), "event_id")
 
 
 @query("merged_with", """select chrom, start, "end", id from iv where sid = 'purchase' union all select chrom, start, "end", id from iv where sid = 'error' or sid = 'purchase'""")
@@ -338,7 +350,7 @@ def _star(spark, d):
 
 @query("anti_join", f"""select u.id from iv u where u.sid = 'purchase' and not exists (select 1 from iv v where v.sid = 'error' and {_SAME} and {_GAP} <= 30)""")
 def _anti(spark, d):
-    return J.grouped(_track(spark, d, "purchase"), _track(spark, d, "error"), K.near(30), aggs={"n": A.count("_hit")}, having=F.col("n") == 0).select("id")
+    return J.without(_track(spark, d, "purchase"), _track(spark, d, "error"), K.near(30)).select("id")
 
 
 @query("stats", """select l_returnflag, count(l_quantity) as "count", round(sum(l_quantity), 4) as "sum", round(sum(l_quantity * l_quantity), 4) as sumsq, min(l_quantity) as "min", max(l_quantity) as "max", round(avg(l_quantity), 6) as average, round(var_samp(l_quantity), 6) as variance from lineitem group by 1""", view=False)
@@ -347,17 +359,17 @@ def _stats(spark, d):
     return out.withColumns({c: F.round(c, n) for c, n in (("sum", 4), ("sumsq", 4), ("average", 6), ("variance", 6))})
 
 
-def _extreme(f):
+def _extreme(most):
     def g(spark, d):
-        out = read(spark, d, "part").groupBy("p_brand").agg(f("p_size", "p_partkey").on().alias("m"))
-        return out.select("p_brand", "m.value", F.explode("m.rows.p_partkey").alias("p_partkey"))
+        out = OrderedFrame(read(spark, d, "part"), ("p_brand",)).extremes("p_size", "p_partkey", most=most)
+        return out.select("p_brand", "value", F.explode("rows.p_partkey").alias("p_partkey"))
 
     return g
 
 
 _EXTREME = "select p_brand, p_size as value, p_partkey from (select *, rank() over (partition by p_brand order by p_size {0}) as k from part) where k = 1"
-query("minimize", _EXTREME.format(""), view=False)(_extreme(A.minimize))
-query("maximize", _EXTREME.format("desc"), view=False)(_extreme(A.maximize))
+query("minimize", _EXTREME.format(""), view=False)(_extreme(False))
+query("maximize", _EXTREME.format("desc"), view=False)(_extreme(True))
 
 
 @query("aggregates", """select p_brand, count(*) as n, sum(p_size) as total, avg(p_size) as mean, min(p_size) as least, max(p_size) as most, bool_and(p_size > 1) as every, bool_or(p_size > 49) as some, round(exp(sum(ln(1.0 + p_size / 1000.0))), 6) as prod, sum(case when p_size > 25 then p_size else 0 end) as large, max(p_size) - min(p_size) as spread from part group by 1""", view=False)
@@ -417,25 +429,25 @@ def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return peptides, part.select(name.alias("pro"), F.col("p_size").alias("len"))
 
 
-@query("psm_normalize", (f"with {_PSM} select pep, pro, round(score, 6) as score, round(f, 6) as \"falseProb\" from n").replace("--with", ""), view=False)
+@query("psm_normalize", (f"with {_PSM} select pep, pro, round(score, 6) as score, round(round(f, 12), 6) as \"falseProb\" from n").replace("--with", ""), view=False)
 def _normalize(spark, d):
     peptides, proteins = _matches(spark, d)
-    return X.normalized(X.selected(peptides), proteins).select("pep", "pro", F.round("score", 6).alias("score"), F.round("falseProb", 6).alias("falseProb"))
+    return X.normalized(X.selected(peptides), proteins).select("pep", "pro", F.round("score", 6).alias("score"), F.round(F.round("falseProb", 12), 6).alias("falseProb"))
 
 
-@query("protein_scores", (f"with {_PSM} select pro, round(\"accPEP\", 6) as \"accPEP\", round(conf, 4) as conf, label from c").replace("--with", ""), view=False)
+@query("protein_scores", (f"with {_PSM} select pro, round(round(\"accPEP\", 12), 6) as \"accPEP\", round(round(conf, 10), 4) as conf, label from c").replace("--with", ""), view=False)
 def _scores(spark, d):
     peptides, proteins = _matches(spark, d)
     out = X.scored(X.normalized(X.selected(peptides), proteins))
-    return out.select("pro", F.round("accPEP", 6).alias("accPEP"), F.round("conf", 4).alias("conf"), "label")
+    return out.select("pro", F.round(F.round("accPEP", 12), 6).alias("accPEP"), F.round(F.round("conf", 10), 4).alias("conf"), "label")
 
 
-_FDR = """, k as (select *, round(conf, 4) as r from c), per as (select r, count(*) filter (label = -1) as d, count(*) filter (label = 1) as t from k group by 1),
+_FDR = """, k as (select *, round(round(conf, 10), 4) as r from c), per as (select r, count(*) filter (label = -1) as d, count(*) filter (label = 1) as t from k group by 1),
   fd as (select r, (1.0 + sum(d) over (order by r desc)) / (1.0 + sum(t) over (order by r desc)) as fdr from per), q as (select r, fdr, least(1.0, min(fdr) over (order by r)) as qval from fd) """
 
 
 @query("fdr_qvalue", (f"with {_PSM}{_FDR} select pro, round(q.fdr, 6) as fdr, round(q.qval, 6) as qval from k join q using (r)").replace("--with", ""), view=False)
 def _fdr(spark, d):
     peptides, proteins = _matches(spark, d)
-    calls = X.scored(X.normalized(X.selected(peptides), proteins)).withColumn("conf", F.round("conf", 4))  # so both engines see the same ties
+    calls = X.scored(X.normalized(X.selected(peptides), proteins)).withColumn("conf", F.round(F.round("conf", 10), 4))  # so both engines see the same ties
     return X.with_fdr(calls).select("pro", F.round("fdr", 6).alias("fdr"), F.round("qval", 6).alias("qval"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import confidence, label
+from ..operators.joins import running
+from ..session import cut_lineage
 
 THRESHOLD, QVAL, FEWEST = 0.999, 0.01, 10
 
@@ -31,13 +31,16 @@ def scored(hits: DataFrame) -> DataFrame:
     return hits.groupBy("pro").agg(F.product("falseProb").alias("accPEP")).select("pro", "accPEP", confidence(F.col("accPEP")).alias("conf"), label(F.col("pro")).alias("label"))
 
 
+#: Confidences are cumulated in stretches of this width; they lie between 0 and 140.
+STRETCH = 0.05
+
+
 def with_fdr(calls: DataFrame) -> DataFrame:
-    """calls and fdr, qval. Cumulated over distinct confidences, of which there are few next to calls."""
+    """calls and fdr, qval. Cumulated over distinct confidences, in stretches, so no task holds all of them."""
     per = calls.groupBy("conf").agg(F.sum((F.col("label") == -1).cast("long")).alias("d"), F.sum((F.col("label") == 1).cast("long")).alias("t"))
-    down = Window.orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.orderBy("conf").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select("conf", ((1.0 + F.sum("d").over(down)) / (1.0 + F.sum("t").over(down))).alias("fdr"))
-    per = per.withColumn("qval", F.least(F.lit(1.0), F.min("fdr").over(up)))
+    per = running(per.withColumn("_down", -F.col("conf")), [], "_down", [], {"decoys": F.col("d"), "targets": F.col("t")}, STRETCH)
+    per = per.select("conf", ((1.0 + F.col("decoys")) / (1.0 + F.col("targets"))).alias("fdr"))
+    per = running(per, [], "conf", [], {"_most": -F.col("fdr")}, STRETCH, best=True).select("conf", "fdr", F.least(F.lit(1.0), -F.col("_most")).alias("qval"))
     return calls.join(per, "conf").select("pro", "accPEP", "conf", "label", "fdr", "qval")
 
 
@@ -75,26 +78,15 @@ def with_complexes(peptides: DataFrame, proteins: DataFrame, cpx: DataFrame, thr
     return refined(without_complexes(peptides, proteins, threshold), cpx)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def iterated(peptides: DataFrame, proteins: DataFrame, cpx: DataFrame, threshold: float = THRESHOLD, qval: float = QVAL, name=None, rounds: int = 50) -> DataFrame:
-    """Refined until fewer than FEWEST more targets are called."""
+def iterated(peptides: DataFrame, proteins: DataFrame, cpx: DataFrame, threshold: float = THRESHOLD, qval: float = QVAL, name=None, rounds: int = 50, fewest: int = FEWEST) -> DataFrame:
+    """Refined until fewer than ``fewest`` more targets are called, or ``rounds`` times."""
     called = lambda df: df.where((F.col("label") == 1) & (F.col("qval") < qval)).count()
-    before = cut(without_complexes(peptides, proteins, threshold))
+    before = cut_lineage(without_complexes(peptides, proteins, threshold))
     n = called(before)
     for _ in range(rounds):
-        before = cut(refined(before, cpx, name))
+        before = cut_lineage(refined(before, cpx, name))
         m = called(before)
-        if m - n < FEWEST:
+        if m - n < fewest:
             break
         n = m
     return before

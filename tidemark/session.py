@@ -1,10 +1,11 @@
-"""Session settings for local runs and tests; a cluster brings its own."""
+"""Session settings for local runs and tests (a cluster brings its own), and the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -22,3 +23,23 @@ def build(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> Sp
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local master may go without one; a temporary folder serves there."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it from there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
