@@ -193,7 +193,7 @@ SAMPLE_HEADER = "##"
 
 def read_sample_text(spark: SparkSession, path: str, extra: list[tuple[str, str]] | None = None) -> Dataset:
     """Tracks are files or folders; sid is the last part of a track's path, without sid=."""
-    entries = spark.read.option("lineSep", "\n\n").text(path).select(F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith(SAMPLE_HEADER)).alias("l")).where(F.size("l") > 0)
+    entries = spark.read.option("lineSep", "\n\n").text(path).select(F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith(SAMPLE_HEADER)).alias("l")).where(F.size("l") > 0)
     name = lambda c: F.regexp_extract(c, r"(?:^|/)(?:sid=)?([^/]+)/*$", 1)
     own = entries.select(name(F.col("l")[0]).alias("sid"), F.col("l")[0].alias("track"), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))).alias("l"))
     meta = own.select("sid", F.explode("l").alias("x")).select("sid", F.split("x", "\t", 2).alias("p")).where(F.size("p") == 2)
