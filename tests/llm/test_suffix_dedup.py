@@ -33,18 +33,21 @@ def test_merge_is_sort():
     for i in range(7):
         own = sorted(strings[i::7])
         runs.append((own, S.front_code(own)[0].tolist()))
-        assert S.front_decode(*[x if isinstance(x, bytes) else x.tolist() for x in S.front_code(own)]) == own
-    order, lcp = S.merge(runs)
-    heads, out = [0] * 7, []
-    for k in order:
-        out.append(runs[k][0][heads[k]])
-        heads[k] += 1
-    assert out == sorted(strings)
-    assert lcp == [0] + [S.shared(a, b, 0) for a, b in zip(out, out[1:], strict=False)]
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_against_brute_force(spark, seed):
+        assert list(S.front_decode(*S.front_code(own))) == own
+    out = list(S.merge([iter(zip(*r, strict=True)) for r in runs]))
+    assert [x for _, x, _ in out] == sorted(strings) and all([x for r, x, _ in out if r == k] == runs[k][0] for k in range(7))
+    assert [k for _, _, k in out] == [0] + [S.shared(a, b, 0) for (_, a, _), (_, b, _) in zip(out, out[1:], strict=False)]
+
+
+def test_spans_that_meet_are_one():
+    x = np.array([(2, 1, 5, 9), (1, 1, 0, 4), (1, 1, 4, 6), (1, 1, 1, 3), (1, 1, 8, 9), (1, 2, 3, 4), (2, 1, 6, 7)], S._SPAN)
+    assert S.joined(x).tolist() == [(1, 1, 0, 6), (1, 1, 8, 9), (1, 2, 3, 4), (2, 1, 5, 9)] and len(S.joined(x[:0])) == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_against_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(S, "GROUPED", [1, 7, 20_000][seed % 3])
+    monkeypatch.setattr(S, "RUN_BYTES", 3_000 if seed % 2 else 48 << 20)
     texts = made(seed)
     docs = spark.createDataFrame([(i % 31, t.decode()) for i, t in enumerate(texts)] + [(77, None), (None, None), (None, "z" * 50)], "doc_id long, text string")
     got = {(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in S.remove_repeats(docs, 40).collect()}

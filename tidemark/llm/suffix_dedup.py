@@ -3,23 +3,23 @@
 A byte goes if it lies in a ``length``-byte string that starts at two places or more.
 Four steps find all of those strings and no others:
 
-1. Every ``length``-byte window has a minimizer: the leftmost of its ``gram``-byte strings
-   with the least hash. Equal windows have it at the same distance. The minimizers of
-   all windows (about 1 % of the positions) are the suffixes to sort. One whose gram
-   occurs once in the corpus can't be in a repeated window and is left out.
+1. Texts that are equal are taken once, with their number. Every ``length``-byte window has a
+   minimizer: the leftmost of its ``gram``-byte strings with the least hash. Equal windows have
+   it at the same distance. The minimizers of all windows (about 1 % of the positions) are the
+   suffixes to sort. One whose gram occurs once in the corpus can't be in a repeated window and is left out.
 2. Each map task sorts its suffixes (from the minimizer to the end of the last window
    that it serves) and codes each run by front: the length of the prefix shared with the
-   one before, and the rest. Equal suffixes in a run are kept once. Runs go to the task
-   that owns the gram, so suffixes that share at least one gram meet.
-3. There, a loser tree merges the runs. It knows how long a prefix each contender shares
-   with the last winner and compares bytes only behind it. It returns the sorted
-   suffixes and the prefix lengths shared by neighbours.
+   one before, and the rest. What a run has twice is known to repeat; its spans are told at once, and one
+   of the equal suffixes goes on, as a mark. Runs go to the task that owns the gram, so suffixes that share a gram meet.
+3. There, a loser tree merges the runs, which are decoded as they are read. It knows how long a prefix each
+   contender shares with the last winner and compares bytes only behind it. It returns the sorted
+   suffixes and the prefix lengths shared by neighbours; suffixes are held only while they share a gram (and some more).
 4. For each distance d of a window to its minimizer, two windows are equal if the suffixes
    share length - d bytes and the bytes before share d. Both are runs in a sorted order
    without a lower shared length. A minimizer serves windows less than ``length`` bytes
    apart, so its first and last repeated window tell all that it covers.
 
-No step holds all rows of a group of copies as text: equal suffixes travel once per run.
+No step holds all rows of a group of copies: copies are one text, and equal suffixes travel once per run.
 """
 
 from __future__ import annotations
@@ -140,27 +140,27 @@ def front_code(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     return lcp, np.array([len(s) for s in strings], np.int32), b"".join(s[k:] for s, k in zip(strings, lcp.tolist(), strict=True))
 
 
-def front_decode(lcp: list[int], size: list[int], rest: bytes) -> list[bytes]:
-    out, at, before = [], 0, b""
-    for k, n in zip(lcp, size, strict=True):
+def front_decode(lcp: np.ndarray, size: np.ndarray, rest: bytes) -> Iterator[bytes]:
+    at, before = 0, b""
+    for k, n in zip(lcp.tolist(), size.tolist(), strict=True):
         before = before[:k] + rest[at : at + n - k]
         at += n - k
-        out.append(before)
-    return out
+        yield before
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[int]]:
-    """Merges sorted runs, each with the prefix that each string shares with the one before.
+def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes, int]]:
+    """Merges sorted runs of strings, each with the prefix that it shares with the one before. One string of a run is held.
 
     A loser tree: an inner node holds the run that lost there and the prefix that its head shares
     with the winner. Against the last winner, the longer shared prefix is the lesser string; only
-    at equal lengths are bytes compared, from there on. Returns the run of each string in
-    order, and the prefix that it shares with the one before.
+    at equal lengths are bytes compared, from there on. Gives the run of each string in
+    order, the string, and the prefix that it shares with the one before.
     """
     k = 1
     while k < len(runs):
         k *= 2
-    heads = [0] * k
+    ended = (b"", -1)
+    heads = [next(r, ended) for r in runs] + [ended] * (k - len(runs))
     loser, kept = [0] * k, [0] * k  # by inner node
 
     def play(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
@@ -171,7 +171,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
             return a, la, b, lb
         if lb > la:
             return b, lb, a, la
-        x, y = runs[a][0][heads[a]], runs[b][0][heads[b]]
+        x, y = heads[a][0], heads[b][0]
         n = shared(x, y, la)
         if n == len(x) or (n < len(y) and x[n] < y[n]):
             return a, la, b, n
@@ -179,26 +179,21 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
 
     def start(node: int) -> tuple[int, int]:
         if node >= k:
-            r = node - k
-            return r, 0 if r < len(runs) and runs[r][0] else -1
+            return node - k, min(0, heads[node - k][1])
         a, la = start(2 * node)
         b, lb = start(2 * node + 1)
         w, lw, loser[node], kept[node] = play(a, la, b, lb)
         return w, lw
 
-    order, lcps = [], []
     w, lw = start(1)
     while lw >= 0:
-        order.append(w)
-        lcps.append(lw)
-        heads[w] += 1
-        strings, lcp = runs[w]
-        lw = lcp[heads[w]] if heads[w] < len(strings) else -1
+        yield w, heads[w][0], lw
+        heads[w] = next(runs[w], ended)
+        lw = heads[w][1]
         node = (w + k) // 2
         while node:
             w, lw, loser[node], kept[node] = play(w, lw, loser[node], kept[node])
             node //= 2
-    return order, lcps
 
 
 def repeats(right: np.ndarray, left: list[bytes], lo: np.ndarray, hi: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +235,14 @@ def repeats(right: np.ndarray, left: list[bytes], lo: np.ndarray, hi: np.ndarray
 def _anchors(length: int, gram: int):
     def run(batches):
         for b in batches:
-            texts, kd, kt = common.text_bytes(b["text"]), common.longs(b["kd"]), common.longs(b["kt"])
+            texts, kd, kt, n = common.text_bytes(b["text"]), common.longs(b["kd"]), common.longs(b["kt"]), common.longs(b["n"])
             for chunk, rows, offsets, ends in tiles(texts, length):
                 at, lo, hi, g = minimizers(chunk, ends, length, gram)
                 part = np.searchsorted(ends, at, "right")
                 starts = np.concatenate([[0], ends[:-1]])
                 x = {"gram": g.view(np.int64), "kd": kd[rows[part]], "kt": kt[rows[part]], "at": at - starts[part] + offsets[part], "lo": lo, "hi": hi}
                 _, back, count = np.unique(g, return_inverse=True, return_counts=True)
-                many = count[back] > 1
+                many = np.bincount(back, n[rows[part]], len(count))[back] > 1
                 # a gram that is here twice is known to repeat: its rows go anywhere, and one more, a mark, tells the others
                 first = np.unique(back[many], return_index=True)[1]
                 mark = {k: v[many][first] for k, v in x.items()}
@@ -281,121 +276,177 @@ def _frequent(batches):
         yield {n: x[n][go] for n in names[:4]} | {"window": x["window"][go] >> 2}
 
 
-RUN = "target long, lcp binary, size binary, rest binary, left_lcp binary, left_size binary, left_rest binary, members binary"
-_MEMBER = np.dtype([("of", np.int32), ("kd", np.int64), ("kt", np.int64), ("at", np.int64), ("n", np.int64)])
+#: A run's suffixes, or spans that are known already (without the rest).
+RUN = "target long, lcp binary, size binary, rest binary, left_lcp binary, left_size binary, left_rest binary, many binary, member binary, spans binary"
+_MEMBER = np.dtype([("kd", np.int64), ("kt", np.int64), ("at", np.int64)])
+_SPAN = np.dtype([("kd", np.int64), ("kt", np.int64), ("first", np.int64), ("last", np.int64)])
+#: Suffixes that are held until all with their gram are there, at least.
+GROUPED = 20_000
+
+
+def joined(spans: np.ndarray) -> np.ndarray:
+    """Spans (_SPAN) with those of a text that meet made one."""
+    if not len(spans):
+        return spans
+    x = spans[np.lexsort((spans["first"], spans["kt"], spans["kd"]))]
+    new = np.concatenate([[True], (x["kd"][1:] != x["kd"][:-1]) | (x["kt"][1:] != x["kt"][:-1])])
+    # the furthest end so far in each text: texts are set apart by more than any end
+    far = np.cumsum(new) * (int(x["last"].max()) + 1)
+    reach = np.maximum.accumulate(x["last"] + far)
+    new[1:] |= x["first"][1:] + far[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    out = x[at].copy()
+    out["last"] = np.append(reach[at[1:] - 1], reach[-1]) - far[at]
+    return out
+
 
+def _runs(length: int, targets: int, most: int):
+    def pack(x: bytes) -> bytes:
+        return zstandard.compress(x, 1)
 
-def _runs(length: int, targets: int):
-    def code(target: int, found: dict) -> dict:
-        pack = zstandard.ZstdCompressor(level=1).compress
+    def code(target: int, found: dict) -> tuple[dict, list]:
+        """A run's row, and spans of what it has twice. found: (suffix, bytes before): members, or None and the members' spans."""
         order = sorted(found)
         lcp, size, rest = front_code([r for r, _ in order])
         left_lcp, left_size, left_rest = front_code([x for _, x in order])
-        members = np.array([(i, *m) for i, k in enumerate(order) for m in found[k]], _MEMBER)
-        return {"target": target, "lcp": lcp.tobytes(), "size": size.tobytes(), "rest": pack(rest), "left_lcp": left_lcp.tobytes(), "left_size": left_size.tobytes(), "left_rest": pack(left_rest), "members": members.tobytes()}
+        spans = [(kd, kt, at - len(k[1]), at + len(k[0])) for k in order if found[k][0] > 1 for kd, kt, at in found[k][1:]]
+        member = np.array([found[k][1] for k in order], _MEMBER)
+        many = np.array([found[k][0] > 1 for k in order], np.uint8)
+        return {"target": target, "lcp": lcp.tobytes(), "size": size.tobytes(), "rest": pack(rest), "left_lcp": left_lcp.tobytes(), "left_size": left_size.tobytes(), "left_rest": pack(left_rest), "many": many.tobytes(), "member": pack(member.tobytes()), "spans": None}, spans
 
     def run(batches):
-        held, parts = 0, {}
+        held, parts, turn = 0, {}, 0
 
         def out():
+            known = []
             for t, found in parts.items():
-                yield {k: [v] for k, v in code(t, found).items()}
+                row, spans = code(t, found)
+                known += spans
+                yield {k: [v] for k, v in row.items()}
+            if known:
+                spans = joined(np.array(known, _SPAN))
+                to = int(spans["kt"][0]) + turn  # any task may have them
+                yield {k: [None] for k in row} | {"target": [to % targets], "spans": [pack(spans.tobytes())]}
 
         for b in batches:
-            kd, kt = common.longs(b["kd"]), common.longs(b["kt"])
+            kd, kt, n = common.longs(b["kd"]).tolist(), common.longs(b["kt"]).tolist(), common.longs(b["n"]).tolist()
             for i, text in enumerate(common.text_bytes(b["text"])):
                 for x in b["anchors"][i].as_py():
                     at, lo, hi = x["at"], x["window"] >> 20, x["window"] & 0xFFFFF
                     key = text[at : at + length - lo], text[at - hi : at][::-1]
                     found = parts.setdefault(x["gram"] % targets, {})
                     if key not in found:
-                        found[key] = []
+                        found[key] = [0]
                         held += len(key[0]) + len(key[1]) + 150
-                    found[key].append((int(kd[i]), int(kt[i]), at, x["n"]))
+                    found[key][0] += n[i]
+                    found[key].append((kd[i], kt[i], at))
                     held += 60
-                if held >= RUN_BYTES:
+                if held >= most:
                     yield from out()
-                    held, parts = 0, {}
+                    held, parts, turn = 0, {}, turn + 1
         yield from out()
 
     return run
 
 
-def _covered(length: int):
+def _covered(length: int, gram: int, grouped: int):
     """Rows in order of target: the spans that repeat."""
+    unpack = zstandard.decompress
 
-    def solve(rows: list[dict]) -> dict:
+    def solve(rows: list[dict]) -> Iterator[dict]:
         ints = lambda x: np.frombuffer(x, np.int32)
-        unpack = zstandard.ZstdDecompressor().decompress
-        sizes = [ints(r["size"]) for r in rows]
-        lcps = [ints(r["lcp"]).tolist() for r in rows]
-        strings = [front_decode(k, s.tolist(), unpack(r["rest"])) for r, k, s in zip(rows, lcps, sizes, strict=True)]
-        lefts = [front_decode(ints(r["left_lcp"]).tolist(), ints(r["left_size"]).tolist(), unpack(r["left_rest"])) for r in rows]
-        members = [np.frombuffer(r["members"], _MEMBER) for r in rows]
-        order, shared_by = merge(list(zip(strings, lcps, strict=True)))
-        # equal suffixes with equal left bytes become one; ids[run] tells which
-        ids, heads = [np.empty(len(s), np.int64) for s in strings], [0] * len(rows)
-        right, left, lo, hi = [], [], [], []
+        lcps, sizes = [ints(r["lcp"]) for r in rows], [ints(r["size"]) for r in rows]
+        strings = [zip(front_decode(k, s, unpack(r["rest"])), k.tolist(), strict=True) for r, k, s in zip(rows, lcps, sizes, strict=True)]
+        lefts = [front_decode(ints(r["left_lcp"]), ints(r["left_size"]), unpack(r["left_rest"])) for r in rows]
+        members, marks = [np.frombuffer(unpack(r["member"]), _MEMBER) for r in rows], [np.frombuffer(r["many"], np.uint8).tolist() for r in rows]
+        heads = [0] * len(rows)
+        # of the distinct suffixes held: shared prefix, left bytes, distances, times; of all held: run, place in it, which distinct one
+        right: list[int] = []
+        left: list[bytes] = []
+        lo: list[int] = []
+        hi: list[int] = []
+        times: list[int] = []
+        held: list[tuple[int, int, int]] = []
+
+        def done() -> dict:
+            least, most = repeats(np.array(right, np.int64), left, np.array(lo, np.int64), np.array(hi, np.int64), np.array(times) > 1, length)
+            own = np.array(held, np.int64)
+            member = np.empty(len(own), _MEMBER)
+            for r in np.unique(own[:, 0]).tolist():
+                at = own[:, 0] == r
+                member[at] = members[r][own[at, 1]]
+            first, last = member["at"] - most[own[:, 2]], member["at"] - least[own[:, 2]] + length
+            keep = (own[:, 2] >= 0) & (most[own[:, 2]] >= least[own[:, 2]])
+            # those that their run had twice are told already
+            keep &= np.array([not marks[r][i] for r, i, _ in held], bool)
+            return {"kd": member["kd"][keep], "kt": member["kt"][keep], "first": first[keep], "last": last[keep]}
+
         same: dict[bytes, int] = {}
         size_before = -1
-        for r, k in zip(order, shared_by, strict=True):
-            i = heads[r]
+        for r, string, k in merge(strings):
+            if k < gram and len(held) >= grouped:
+                yield done()
+                for x in (right, left, lo, hi, times, held):
+                    x.clear()
+                k = 0
+            i, x = heads[r], next(lefts[r])
             heads[r] += 1
-            size, x = int(sizes[r][i]), lefts[r][i]
-            if not (k == size == size_before):
+            if not (k == len(string) == size_before):
                 same = {}
-            size_before = size
+            size_before = len(string)
             if x not in same:
                 same[x] = len(right)
                 right.append(k)
                 left.append(x)
-                lo.append(length - size)
+                lo.append(length - len(string))
                 hi.append(len(x))
-            ids[r][i] = same[x]
-        member = np.concatenate([ids[r][m["of"]] for r, m in enumerate(members)])
-        every = np.concatenate(members)
-        many = np.bincount(member, every["n"], minlength=len(right)) > 1
-        least, most = repeats(np.array(right, np.int64), left, np.array(lo), np.array(hi), many, length)
-        keep = most[member] >= least[member]
-        every, member = every[keep], member[keep]
-        return {"kd": every["kd"], "kt": every["kt"], "first": every["at"] - most[member], "last": every["at"] - least[member] + length}
+                times.append(0)
+            times[same[x]] += 1 + marks[r][i]
+            held.append((r, i, same[x]))
+        if held:
+            yield done()
 
     def run(batches):
         rows: list[dict] = []
         for b in batches:
             for i in range(len(b["target"])):
                 row = {k: v[i].as_py() for k, v in b.items()}
+                if row["spans"] is not None:
+                    x = np.frombuffer(unpack(row["spans"]), _SPAN)
+                    yield {n: x[n] for n in _SPAN.names}
+                    continue
                 if rows and rows[0]["target"] != row["target"]:
-                    yield solve(rows)
+                    yield from solve(rows)
                     rows = []
                 rows.append(row)
         if rows:
-            yield solve(rows)
+            yield from solve(rows)
 
     return run
 
 
+def text_key(docs: DataFrame) -> list:
+    """Two columns, kd and kt, that name a text by 128 bits. Null is as the empty text."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return [F.xxhash64(F.lit(7), text).alias("kd"), F.xxhash64(text).alias("kt")]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """kd, kt (common.document_key) and spans (first byte, end) that repeated strings cover; spans may overlap.
+    """kd, kt (text_key) and spans (first byte, end) that repeated strings cover; spans may overlap.
 
-    docs: doc_id and text in UTF-8. Null and short texts have no spans. Rows that repeat as
-    a whole share a key, and each has the spans. A null doc_id is a key of its own.
+    docs: text in UTF-8. Null and short texts have no spans. Texts that are equal share a key, and are each other's copies.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     gram, n = length // 2, common.partitions(spark)
-    texts = docs.select(*common.document_key(docs), "text")
+    texts = docs.where(F.octet_length("text") >= length).select(*text_key(docs), "text").groupBy("kd", "kt").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     fields = "gram long, kd long, kt long, at long, window long"
     found = common.map_batches(texts, _anchors(length, gram), fields)
     deal = F.when(F.col("window").bitwiseAND(F.lit(3)) == 1, F.col("kt").bitwiseXOR(F.col("at"))).otherwise(F.col("gram"))
     found = common.map_batches(found.repartition(n, deal).sortWithinPartitions("gram"), _frequent, fields)
-    # rows that repeat as a whole have each anchor once per row: count them, and take their text once
-    found = found.repartition(n, "kd", "kt").groupBy("kd", "kt", "gram", "at", "window").agg(F.count(F.lit(1)).alias("n"))
-    found = found.groupBy("kd", "kt").agg(F.collect_list(F.struct("gram", "at", "window", "n")).alias("anchors"))
-    once = texts.where(F.octet_length("text") >= length).repartition(n, "kd", "kt").dropDuplicates(["kd", "kt"])
-    runs = common.map_batches(once.join(found, ["kd", "kt"]), _runs(length, n), RUN)
-    spans = common.map_batches(runs.repartition(n, "target").sortWithinPartitions("target"), _covered(length), "kd long, kt long, first long, last long")
-    return spans
+    found = found.groupBy("kd", "kt").agg(F.collect_list(F.struct("gram", "at", "window")).alias("anchors"))
+    runs = common.map_batches(texts.join(found, ["kd", "kt"]), _runs(length, n, RUN_BYTES), RUN)
+    return common.map_batches(runs.repartition(n, "target").sortWithinPartitions("target"), _covered(length, gram, GROUPED), "kd long, kt long, first long, last long")
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -415,9 +466,12 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row (all columns of docs), text, and spans, a list of (first, last), null if there are none."""
-    spans = repeated_spans(docs, length).groupBy("kd", "kt").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"), *common.document_key(docs))
+    """row (all columns of docs), text, and spans, a list of (first, last), null if there are none.
+
+    Spans are gathered by one half of the key and joined by both, so that Spark may split the rows of a text with many copies.
+    """
+    spans = repeated_spans(docs, length).repartition(common.partitions(docs.sparkSession), "kt").groupBy("kd", "kt").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"), *text_key(docs))
     return rows.join(spans, ["kd", "kt"], "left").select("row", "text", "spans")
 
 
@@ -453,7 +507,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """As remove_repeats, with kept_sha256 for the bytes kept, and text: these as UTF-8, where a character was cut with U+FFFD.
+
+    Null text counts as empty; a null doc_id stays null; rows that repeat each have a row. No rows: no rows.
+    """
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def brute_force(texts: list[bytes], length: int) -> list[bytes]:
