@@ -20,6 +20,8 @@ from ..operators.ordered import OrderedFrame
 from ..operators.samples import SID, Dataset
 from . import proteins as X
 
+#: Added before a computed value is rounded, so that halves, which engines round differently, are none.
+TIE = 1e-10
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -429,25 +431,25 @@ def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return peptides, part.select(name.alias("pro"), F.col("p_size").alias("len"))
 
 
-@query("psm_normalize", (f"with {_PSM} select pep, pro, round(score, 6) as score, round(round(f, 12), 6) as \"falseProb\" from n").replace("--with", ""), view=False)
+@query("psm_normalize", (f"with {_PSM} select pep, pro, round(score, 6) as score, round(f + 1e-10, 6) as \"falseProb\" from n").replace("--with", ""), view=False)
 def _normalize(spark, d):
     peptides, proteins = _matches(spark, d)
-    return X.normalized(X.selected(peptides), proteins).select("pep", "pro", F.round("score", 6).alias("score"), F.round(F.round("falseProb", 12), 6).alias("falseProb"))
+    return X.normalized(X.selected(peptides), proteins).select("pep", "pro", F.round("score", 6).alias("score"), F.round(F.col("falseProb") + TIE, 6).alias("falseProb"))
 
 
-@query("protein_scores", (f"with {_PSM} select pro, round(round(\"accPEP\", 12), 6) as \"accPEP\", round(round(conf, 10), 4) as conf, label from c").replace("--with", ""), view=False)
+@query("protein_scores", (f"with {_PSM} select pro, round(\"accPEP\" + 1e-10, 6) as \"accPEP\", round(conf + 1e-10, 4) as conf, label from c").replace("--with", ""), view=False)
 def _scores(spark, d):
     peptides, proteins = _matches(spark, d)
     out = X.scored(X.normalized(X.selected(peptides), proteins))
-    return out.select("pro", F.round(F.round("accPEP", 12), 6).alias("accPEP"), F.round(F.round("conf", 10), 4).alias("conf"), "label")
+    return out.select("pro", F.round(F.col("accPEP") + TIE, 6).alias("accPEP"), F.round(F.col("conf") + TIE, 4).alias("conf"), "label")
 
 
-_FDR = """, k as (select *, round(round(conf, 10), 4) as r from c), per as (select r, count(*) filter (label = -1) as d, count(*) filter (label = 1) as t from k group by 1),
+_FDR = """, k as (select *, round(conf + 1e-10, 4) as r from c), per as (select r, count(*) filter (label = -1) as d, count(*) filter (label = 1) as t from k group by 1),
   fd as (select r, (1.0 + sum(d) over (order by r desc)) / (1.0 + sum(t) over (order by r desc)) as fdr from per), q as (select r, fdr, least(1.0, min(fdr) over (order by r)) as qval from fd) """
 
 
 @query("fdr_qvalue", (f"with {_PSM}{_FDR} select pro, round(q.fdr, 6) as fdr, round(q.qval, 6) as qval from k join q using (r)").replace("--with", ""), view=False)
 def _fdr(spark, d):
     peptides, proteins = _matches(spark, d)
-    calls = X.scored(X.normalized(X.selected(peptides), proteins)).withColumn("conf", F.round(F.round("conf", 10), 4))  # so both engines see the same ties
+    calls = X.scored(X.normalized(X.selected(peptides), proteins)).withColumn("conf", F.round(F.col("conf") + TIE, 4))  # so both engines see the same ties
     return X.with_fdr(calls).select("pro", F.round("fdr", 6).alias("fdr"), F.round("qval", 6).alias("qval"))

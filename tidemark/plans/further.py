@@ -12,8 +12,9 @@ from ..operators import joins as J
 from ..operators import regions as R
 from ..operators import samples as S
 from ..operators.ordered import OrderedFrame
+from ..session import cut_lineage
 from . import proteins as X
-from .catalog import _FDR, _GAP, _META_SQL, _OVER, _PSM, _SAME, _STRAND, _matches, _track, dataset, intervals, query, read
+from .catalog import TIE, _FDR, _GAP, _META_SQL, _OVER, _PSM, _SAME, _STRAND, _matches, _track, dataset, intervals, query, read
 
 # Points: parts of one brand, by size.
 
@@ -215,7 +216,7 @@ def _grouped_extremes(spark, d):
 
 
 @query("scalar_functions", """select p_partkey, 'A' || p_partkey as bare, case when p_partkey % 2 = 0 then 'P' || p_partkey else 'Q' end as uniprot, split_part(p_name, ' ', 1) as protein, length(p_name) as len, case when p_brand = 'Brand#11' then -1 else 1 end as label,
-  case p_partkey % 3 when 0 then 'Int' when 1 then 'Double' else 'String' end as kind, round(round(-10 * log10(p_retailprice / 10000 + 1e-14), 10), 6) as conf from part""", view=False)
+  case p_partkey % 3 when 0 then 'Int' when 1 then 'Double' else 'String' end as kind, round(-10 * log10(p_retailprice / 10000 + 1e-14) + 1e-10, 6) as conf from part""", view=False)
 def _scalars(spark, d):
     p = read(spark, d, "part")
     key = F.col("p_partkey").cast("string")
@@ -223,7 +224,7 @@ def _scalars(spark, d):
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("sp|P"), key, F.lit("|X"))).otherwise("Q")
     brand = F.when(F.col("p_brand") == "Brand#11", "DECOY1").otherwise("P1")
     text = F.when(F.col("p_partkey") % 3 == 0, "12").when(F.col("p_partkey") % 3 == 1, "1.5").otherwise("x1")
-    return p.select("p_partkey", N.bare_sequence(tagged).alias("bare"), N.uniprot(name).alias("uniprot"), N.protein_name(F.col("p_name")).alias("protein"), F.length("p_name").cast("long").alias("len"), N.label(brand).alias("label"), N.sniffed(text).alias("kind"), F.round(F.round(N.confidence(F.col("p_retailprice") / 10000), 10), 6).alias("conf"))
+    return p.select("p_partkey", N.bare_sequence(tagged).alias("bare"), N.uniprot(name).alias("uniprot"), N.protein_name(F.col("p_name")).alias("protein"), F.length("p_name").cast("long").alias("len"), N.label(brand).alias("label"), N.sniffed(text).alias("kind"), F.round(N.confidence(F.col("p_retailprice") / 10000) + TIE, 6).alias("conf"))
 
 
 # Inference with complexes: what a supplier delivers is a complex; suppliers of even nations are human.
@@ -242,7 +243,7 @@ def _refined_sql(calls: str, out: str) -> str:
   {out} as (select pro, least("accPEP", coalesce(case when label = 1 then t else d end, "accPEP")) as "accPEP", label from {calls} left join {out}_b on name = {_NAME}) """
 
 
-_ROUNDED = 'round(round("accPEP", 12), 6) as "accPEP"'
+_ROUNDED = 'round("accPEP" + 1e-10, 6) as "accPEP"'
 
 
 def _complexes(spark, d) -> DataFrame:
@@ -258,7 +259,7 @@ def _target(c):
 def _calls(spark, d) -> DataFrame:
     """Calls; confidences are rounded, so both engines see the same ties."""
     peptides, proteins = _matches(spark, d)
-    return X.scored(X.normalized(X.selected(peptides), proteins)).withColumn("conf", F.round(F.round("conf", 10), 4))
+    return X.scored(X.normalized(X.selected(peptides), proteins)).withColumn("conf", F.round(F.col("conf") + TIE, 4))
 
 
 @query("complexes", (f"with {_CPX[1:]} select * from cx"), view=False)
@@ -266,17 +267,17 @@ def _complex_query(spark, d):
     return _complexes(spark, d)
 
 
-@query("complex_probabilities", (f"with {_PSM}{_CPX}{_annotated_sql('c', 'r')} select \"cpxId\", pro, round(round(\"targetProb\", 12), 6) as \"targetProb\", round(round(\"decoyProb\", 12), 6) as \"decoyProb\" from r_m").replace("--with", ""), view=False)
+@query("complex_probabilities", (f"with {_PSM}{_CPX}{_annotated_sql('c', 'r')} select \"cpxId\", pro, round(\"targetProb\" + 1e-10, 6) as \"targetProb\", round(\"decoyProb\" + 1e-10, 6) as \"decoyProb\" from r_m").replace("--with", ""), view=False)
 def _probabilities(spark, d):
     calls = _calls(spark, d)
     out = X.annotated(_complexes(spark, d), calls.select(_target(F.col("pro")).alias("pro"), "accPEP", "label"))
-    return out.select("cpxId", "pro", *(F.round(F.round(c, 12), 6).alias(c) for c in ("targetProb", "decoyProb")))
+    return out.select("cpxId", "pro", *(F.round(F.col(c) + TIE, 6).alias(c) for c in ("targetProb", "decoyProb")))
 
 
 @query("complex_refined", (f"with {_PSM}{_CPX}{_refined_sql('c', 'r')} select pro, {_ROUNDED}, label from r").replace("--with", ""), view=False)
 def _refined(spark, d):
     out = X.refined(_calls(spark, d), _complexes(spark, d), _target)
-    return out.select("pro", F.round(F.round("accPEP", 12), 6).alias("accPEP"), "label")
+    return out.select("pro", F.round(F.col("accPEP") + TIE, 6).alias("accPEP"), "label")
 
 
 #: Calls are those of the rounded probabilities, so both engines call the same.
@@ -284,7 +285,7 @@ _CALLED = _FDR.replace("from c)", "from {0})").replace(" k as", " {1}k as").repl
 
 
 def _called(calls: DataFrame) -> DataFrame:
-    conf = F.round(F.round(N.confidence(F.col("accPEP")), 10), 4)
+    conf = F.round(N.confidence(F.col("accPEP")) + TIE, 4)
     return X.with_fdr(calls.select("pro", "accPEP", conf.alias("conf"), "label"))
 
 
@@ -293,18 +294,24 @@ def _called_sql(calls: str, out: str) -> str:
     return _CALLED.format(conf, out)
 
 
-_LEVEL = 0.3
+#: Two levels, between which complexes make a difference.
+_LEVELS = (0.328, 0.33)
+_SIDES = " union all ".join(f"""select {n} as level, 'both' as side, pro from a join b using (pro) where a.q < {n} and b.q < {n}
+  union all select {n}, 'cpx', pro from a where q < {n} and pro not in (select pro from b where q < {n}) union all select {n}, 'nocpx', pro from b where q < {n} and pro not in (select pro from a where q < {n})""" for n in _LEVELS)
 
 
 @query("complex_analysis", (f"""with {_PSM}{_CPX}{_refined_sql('c', 'r')}{_called_sql('r', 'x')}{_called_sql('c', 'y')},
-  a as (select pro from xk join xq using (r) where label = 1 and round(qval, 10) < {_LEVEL}), b as (select pro from yk join yq using (r) where label = 1 and round(qval, 10) < {_LEVEL})
-  select 'both' as side, pro from a join b using (pro) union all select 'cpx', pro from a where pro not in (select pro from b) union all select 'nocpx', pro from b where pro not in (select pro from a)""").replace("--with", ""), view=False)
+  a as (select pro, round(qval, 10) as q from xk join xq using (r) where label = 1), b as (select pro, round(qval, 10) as q from yk join yq using (r) where label = 1)
+  select level::double as level, side, pro from ({_SIDES})""").replace("--with", ""), view=False)
 def _analysis(spark, d):
-    calls = _calls(spark, d)
-    both = {n: _called(c).withColumn("qval", F.round("qval", 10)) for n, c in (("cpx", X.refined(calls, _complexes(spark, d), _target)), ("nocpx", calls))}
-    out = X.analysis(both["cpx"], both["nocpx"], _LEVEL)
-    side = lambda n, df: df.select(F.lit(n).alias("side"), "pro")
-    return side("both", out["cpx"].join(out["nocpx"].select("pro"), "pro")).union(side("cpx", out["cpx_only"])).union(side("nocpx", out["nocpx_only"]))
+    calls = cut_lineage(_calls(spark, d))
+    cpx, nocpx = (cut_lineage(_called(c).withColumn("qval", F.round("qval", 10))) for c in (X.refined(calls, _complexes(spark, d), _target), calls))
+    rows = []
+    for level in _LEVELS:
+        out = X.analysis(cpx, nocpx, level)
+        sides = {"both": out["cpx"].join(out["nocpx"].select("pro"), "pro"), "cpx": out["cpx_only"], "nocpx": out["nocpx_only"]}
+        rows += [df.select(F.lit(level).alias("level"), F.lit(n).alias("side"), "pro") for n, df in sides.items()]
+    return R.union_r(*rows)
 
 
 @query("complex_iterated", (f"with {_PSM}{_CPX}{_refined_sql('c', 'r')}{_refined_sql('r', 's')}{_refined_sql('s', 't')} select pro, {_ROUNDED}, label from t").replace("--with", ""), view=False)
@@ -312,4 +319,4 @@ def _iterated(spark, d):
     """Three rounds; with so low a number of new calls it never stops before."""
     peptides, proteins = _matches(spark, d)
     out = X.iterated(peptides, proteins, _complexes(spark, d), name=_target, rounds=3, fewest=-(10**9))
-    return out.select("pro", F.round(F.round("accPEP", 12), 6).alias("accPEP"), "label")
+    return out.select("pro", F.round(F.col("accPEP") + TIE, 6).alias("accPEP"), "label")
