@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage  # noqa: F401  operators call it from here
+
 #: Rows per Arrow batch. Texts are long, so batches are kept small.
 BATCH_ROWS = 1000
 #: Stands for a null doc_id in join keys.
@@ -31,24 +32,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's checkpoint folder and reads it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master may
-    go without one; a temporary folder serves there.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow where f takes and gives dicts of columns (lists or numpy arrays)."""
     fields = [x.strip().split(" ")[:2] for x in schema.split(",")]

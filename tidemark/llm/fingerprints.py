@@ -4,6 +4,7 @@ The terms of a text are its pairs of neighbouring words (A-Z lower-cased); one w
 itself. A term's 128-bit hash votes on each bit with weight 1 + ln(times it occurs). The
 search files each fingerprint under every choice of two of radius + 2 blocks of bits, which is
 the same as sorted tables of permuted blocks: fingerprints within radius agree on two blocks.
+The query of the operator searches with the documents whose id is divisible by 20, against all.
 """
 
 from __future__ import annotations
@@ -113,38 +114,58 @@ def within(queries: DataFrame, every: DataFrame, radius: int = 3) -> DataFrame:
     return q.join(filed(every), ["t", "entry"]).select("q_hi", "q_lo", "hi", "lo", apart.alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def place(ids: np.ndarray, h: np.ndarray, cuts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Range of each row, from 0 for the greatest ids on. cuts: ids in ascending order, times: how often each was a quantile.
+
+    An id that was more than one has as many ranges for itself, by its rows' hashes (which are spread evenly).
+    """
+    own, below, k = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64), 1
+    for i in range(len(cuts) - 1, -1, -1):
+        own[i] = k
+        k += int(times[i]) if times[i] > 1 else 0
+        below[i] = k
+        k += 1
+    at = np.searchsorted(cuts, ids, "left")
+    inside = np.minimum(at, len(cuts) - 1)
+    share = ((h.astype(np.float64) / 2**64 + 0.5) * times[inside]).astype(np.int64) if len(cuts) else ids
+    equal = np.where(times[inside] > 1, own[inside] + np.clip(share, 0, times[inside] - 1), below[inside]) if len(cuts) else ids
+    return np.where(at == len(cuts), 0, np.where(cuts[inside] == ids, equal, below[inside])) if len(cuts) else np.zeros(len(ids), np.int64)
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """bucket, ghost, id, doc_id, text: rows dealt so that, in order of bucket, ghost, descending id and text's hash, each row
     that isn't a ghost is followed by the next row in descending order of doc_id over all (null last; after the last, the first).
 
-    Ids are cut into ranges of like counts; the first rows of a range are copied to the end of the one before, as ghosts.
+    Ids are cut into ranges of like counts, and an id with many rows by the hash of the text; the first row of a range is copied to the end of the one before, as a ghost.
     """
     n = common.partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID)))
-    cuts = np.array(sorted({int(x) for x in rows.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)} if n > 1 else []), np.int64)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).withColumn("h", F.xxhash64("text"))
+    found = rows.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    cuts, times = np.unique(np.array([int(x) for x in found], np.int64), return_counts=True)
 
     @F.pandas_udf("long")
-    def bucket(x: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, x.to_numpy(), "left"))
+    def bucket(x: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(place(x.to_numpy(), h.to_numpy(), cuts, times))
 
-    first = {r.k: r.m for r in rows.select("id").groupBy(bucket("id").alias("k")).agg(F.max("id").alias("m")).collect()}  # a row a range
+    # ids descend: their complement ascends
+    least = F.min(F.struct(F.bitwise_not("id").alias("a"), "h")).alias("m")
+    first = {r.k: (~r.m.a, r.m.h) for r in rows.groupBy(bucket("id", "h").alias("k")).agg(least).collect()}  # a row a range
     order = sorted(first)
     before = {k: order[i - 1] for i, k in enumerate(order)}
 
     @F.pandas_udf("array<long>")
-    def places(x: pd.Series) -> pd.Series:
+    def places(x: pd.Series, h: pd.Series) -> pd.Series:
         """The range, and for a range's first rows minus the range before and 1."""
-        ids = x.to_numpy()
-        own = len(cuts) - np.searchsorted(cuts, ids, "left")
-        return pd.Series([[k, -before[k] - 1] if i == first[k] else [k] for i, k in zip(ids.tolist(), own.tolist(), strict=True)])
+        own = place(x.to_numpy(), h.to_numpy(), cuts, times)
+        return pd.Series([[k, -before[k] - 1] if (i, g) == first[k] else [k] for i, g, k in zip(x.tolist(), h.tolist(), own.tolist(), strict=True)])
 
-    dealt = rows.select("*", F.explode(places("id")).alias("p"))
-    dealt = dealt.select(F.when(F.col("p") < 0, -F.col("p") - 1).otherwise(F.col("p")).alias("bucket"), (F.col("p") < 0).cast("int").alias("ghost"), "id", "doc_id", "text")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("id"), F.xxhash64("text"), "text")
+    dealt = rows.select("*", F.explode(places("id", "h")).alias("p"))
+    dealt = dealt.select(F.when(F.col("p") < 0, -F.col("p") - 1).otherwise(F.col("p")).alias("bucket"), (F.col("p") < 0).cast("int").alias("ghost"), "id", "h", "doc_id", "text")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("id"), "h", "text")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Fingerprint of every row, of its edited text, and likeness to that and to the next row's. Rows of one doc_id follow in order of a hash of the text."""
+def with_edits(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, sha, fp, edited (binary: of the edited text, of the text, of the edited text), hi, lo (fp again), near_edited, near_next of every row."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
@@ -154,9 +175,10 @@ def digest(docs: DataFrame) -> DataFrame:
             """rows: doc_id, text, next text."""
             edited = [(t[: len(t) - len(t) // 2] + x[: len(t) // 2]).encode() for _, t, x in rows]
             a, e, x = (np.array([simhash(t) for t in ts], np.uint8).reshape(-1, 16) for ts in ([r[1].encode() for r in rows], edited, [r[2].encode() for r in rows]))
+            both = a.view(np.int64)
             return {
-                "doc_id": [r[0] for r in rows], "n_chars": [len(r[1]) for r in rows], "edited_sha256": [hashlib.sha256(t).hexdigest() for t in edited],
-                "fingerprint": [v.tobytes().hex() for v in a], "edited_fingerprint": [v.tobytes().hex() for v in e], "near_edited": likeness(a, e), "near_next": likeness(a, x),
+                "doc_id": [r[0] for r in rows], "n_chars": [len(r[1]) for r in rows], "sha": [hashlib.sha256(t).digest() for t in edited],
+                "fp": [v.tobytes() for v in a], "edited": [v.tobytes() for v in e], "hi": both[:, 0], "lo": both[:, 1], "near_edited": likeness(a, e), "near_next": likeness(a, x),
             }
 
         for b in batches:
@@ -172,4 +194,19 @@ def digest(docs: DataFrame) -> DataFrame:
             if rows:
                 yield work(rows)
 
-    return common.map_batches(beside_next(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return common.map_batches(beside_next(docs), run, "doc_id long, n_chars long, sha binary, fp binary, edited binary, hi long, lo long, near_edited double, near_next double")
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """Fingerprint of every row, of its edited text, and likeness to that and to the next row's; n_within: of a row whose
+    doc_id is divisible by 20, how many other distinct fingerprints are within 3 bits, else null.
+
+    Rows of one doc_id (null ids are one) follow in order of a hash of the text. Null text is empty; rows that repeat each have a row. No rows: no rows.
+    """
+    own = common.cut_lineage(with_edits(docs))
+    hexed = [F.lower(F.hex(c)).alias(n) for c, n in (("sha", "edited_sha256"), ("fp", "fingerprint"), ("edited", "edited_fingerprint"))]
+    shown = ["doc_id", "n_chars", *hexed, "near_edited", "near_next"]
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    found = within(own.where(asked), own).where((F.col("hi") != F.col("q_hi")) | (F.col("lo") != F.col("q_lo"))).groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
+    searched = own.where(asked).join(found, ["hi", "lo"], "left").select(*shown, F.coalesce("n", F.lit(0)).cast("long").alias("n_within"))
+    return searched.union(own.where(~asked).select(*shown, F.lit(None).cast("long").alias("n_within")))
