@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -6,13 +7,40 @@ import pytest
 from tidemark.llm import mixing as M
 
 
-def test_targets():
-    assert M.targets({}) == {}
-    t = M.targets({"a": 10, "b": 1000, "c": 0, None: 500})
-    assert t["a"] == 20 and t["c"] == 0 and abs(sum(t.values()) - 1.5 * 1510) < 1e-9 and t[None] <= 1000
-    assert list(M.targets({"é": 1, "z": 1, "Z": 1})) and M.targets({"x": 8}) == {"x": 12}
-    u = M.targets({"Z": 100, "z": 100, "é": 100})
-    assert u["Z"] == 200 and abs(u["z"] - 250 * 2 / 3) < 1e-9 and abs(u["é"] - 250 / 3) < 1e-9
+def wanted(sizes: dict) -> dict:
+    """Words wanted of each source, by filling up and dealing out again until none is above twice its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: M.WEIGHTS[i % 3] for i, s in enumerate(order)}
+    out, left, free = {}, 1.5 * sum(sizes.values()), list(order)
+    while free:
+        total = sum(weight[s] for s in free)
+        above = [s for s in free if left * weight[s] / total > 2 * sizes[s]]
+        if not above:
+            return out | {s: left * weight[s] / total for s in free}
+        out |= {s: 2.0 * sizes[s] for s in above}
+        left -= sum(out[s] for s in above)
+        free = [s for s in free if s not in above]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 0, None: 500}, {"é": 1, "z": 1, "Z": 1}, {"x": 8}, {"Z": 100, "z": 100, "é": 100}, {f"s{i}": (i * 37) % 91 for i in range(60)}, {"a": 0}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long")
+    got = {r.source: (r["rank"], r.target) for r in M.with_targets(M.ranked(rows)).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    assert {s: k for s, (k, _) in got.items()} == {s: i for i, s in enumerate(order)}
+    assert {s: t for s, (_, t) in got.items()} == pytest.approx(wanted(sizes))
+
+
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_multipliers_are_logarithms(spark, monkeypatch, sent):
+    monkeypatch.setattr(M, "SENT", sent)
+    docs = spark.createDataFrame([("a", 3), ("a", 5), (None, 7), ("b", 1000), ("c", 0)], "source string, size long")
+    want = {"a": 16.0, None: 3.5, "b": 4000.0, "c": 0.0}
+    sources = spark.createDataFrame(list(want.items()), "source string, target double")
+    got = {r.source: r.m for r in M.multipliers(docs, sources, 4).collect()}
+    assert got.pop("c") is None
+    assert got == pytest.approx({"a": math.log(16 / 8), None: math.log(3.5 / 7), "b": math.log(4)}, abs=1e-9)
 
 
 @pytest.mark.parametrize("block", [20_000, 7])
@@ -28,7 +56,7 @@ def test_documents(spark, monkeypatch, block):
         total[s] += n
         taken[s] += r.taken
         target[s] = r.target
-    assert len(rows) == len(src) and target == pytest.approx(M.targets(dict(total)))
+    assert len(rows) == len(src) and target == pytest.approx(wanted(dict(total)))
     assert all(r.source_size == total[src[r.doc_id][0]] for r in rows)
     assert all(abs(taken[s] - t) <= (0.02 if block > 7 else 0.2) * t for s, t in target.items())
     assert sorted(map(tuple, rows)) == sorted(map(tuple, M.mix(docs.repartition(5)).collect()))
