@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Pred, Side, requires
 
 LEFT, RIGHT = "", "r_"
-#: Bins are powers of two between these, about twice the mean length.
-LEAST_WIDTH, MOST_WIDTH = 64, 65536
+#: Bins of intervals are powers of two between these. At twice the mean length or more, all rows together lie in three bins a row at most, whatever the longest is.
+LEAST_WIDTH, MOST_WIDTH = 64, 1 << 40
 #: Positions are counted in stretches of this length, so a chromosome is many tasks.
 STRETCH = 1 << 16
 
@@ -31,12 +31,11 @@ def side(prefix: str = LEFT, chrom: str | None = "chrom", start: str = "start",
 
 
 def bin_width(us: DataFrame, vs: DataFrame, start: str = "start", end: str = "end", reach: float = 0) -> int:
-    """A power of two of about twice the mean length, in one pass over both tables' two columns."""
-    if start == end:
-        mean = 0.0
-    else:
+    """A power of two of twice the mean length and reach at least, in one pass over both tables' two columns. Points have no length."""
+    mean, width = 0.0, 1
+    if start != end:
+        width = LEAST_WIDTH
         mean = us.select((F.col(end) - F.col(start)).alias("n")).union(vs.select((F.col(end) - F.col(start)).alias("n"))).agg(F.avg("n")).first()[0] or 0.0
-    width = LEAST_WIDTH
     while width < MOST_WIDTH and width < 2 * (float(mean) + float(reach)):
         width *= 2
     return width
