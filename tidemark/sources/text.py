@@ -204,9 +204,12 @@ def read_sample_text(spark: SparkSession, path: str, extra: list[tuple[str, str]
 
 
 def write_sample_text(ds: Dataset, path: str) -> None:
-    """Tracks first, in folders beside path, then the entries that name them."""
+    """Tracks first, in folders beside path, then the entries that name them. Ids are fit for names of files; a sample without regions has an empty folder."""
     spark, folder = ds.samples.sparkSession, f"{path}-tracks"
     ds.regions.select("sid", _track_lines(ds.regions).alias("value")).write.mode("overwrite").partitionBy("sid").text(folder)
+    fs, of = _files(spark, folder)
+    for r in ds.samples.select("sid").collect():  # a row a sample
+        fs.mkdirs(of(f"{folder}/sid={r.sid}"))
     spark.createDataFrame([(f"{SAMPLE_HEADER} samples",)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n\n").text(path)
     ds.samples.select(F.concat(F.lit(f"{folder}/sid="), "sid", F.lit("\n"), _meta_lines(ds.samples))).write.mode("append").option("lineSep", "\n\n").text(path)
 
