@@ -97,7 +97,7 @@ def grey(x: np.ndarray) -> np.ndarray:
 
 
 def resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over areas, rounded half up, by an integral image."""
+    """Means over areas, rounded half up (what is below a half by rounding errors alone too), by an integral image."""
     total = np.zeros((x.shape[0] + 1, x.shape[1] + 1, x.shape[2]))
     total[1:, 1:] = x.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
 
@@ -111,7 +111,7 @@ def resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
     a, b, s = at(x.shape[1], width)
     both = rows[:, a] * (1 - s)[None, :, None] + rows[:, b] * s[None, :, None]
     area = x.shape[0] * x.shape[1] / height / width
-    return np.clip(np.floor(np.diff(np.diff(both, axis=0), axis=1) / area + 0.5), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(np.diff(np.diff(both, axis=0), axis=1) / area + 0.5 + 1e-9), 0, 255).astype(np.uint8)
 
 
 def difference_hash(x: np.ndarray) -> str:
@@ -122,7 +122,7 @@ def difference_hash(x: np.ndarray) -> str:
 
 def npy(x: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, x, allow_pickle=False)
+    np.save(out, np.ascontiguousarray(x), allow_pickle=False)
     return out.getvalue()
 
 
@@ -178,3 +178,13 @@ def digest(docs: DataFrame) -> DataFrame:
             yield out
 
     return common.map_batches(store(docs), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+#: What is stored and read back, in DuckDB.
+PAYLOADS = f"""with d as (select doc_id, encode(coalesce(text, '')) as t from documents), n as (select doc_id, t, octet_length(t) as n_bytes, greatest(1, ceil(octet_length(t) / {WIDTH}))::bigint * {WIDTH} as m from d),
+p as (select doc_id, n_bytes, m, t || unhex(repeat('00', m - n_bytes)) as p, encode('P5' || chr(10) || '{WIDTH} ' || (m // {WIDTH}) || chr(10) || '255' || chr(10)) as head from n)
+select doc_id, n_bytes, m as payload_bytes, sha256(p) as payload_sha256, octet_length(head || p) as media_bytes, sha256(head || p) as media_sha256 from p"""
+
+
+def payload_rows(docs: DataFrame) -> DataFrame:
+    return digest(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
