@@ -11,27 +11,27 @@ PASSAGE = 240
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled ones have. Without letters, or as like any language as another: rejected."""
+    """Documents in one of the languages that the labelled ones have. Without letters, or as like any language as another: rejected. Null and empty texts have no letters. No rows: no rows."""
     return language_id.identified(docs, language_id.fit(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by SimHash."""
+    """One document of each group of near copies by SimHash: the smallest doc_id, null last. Null texts are as empty ones, which are alike."""
     return simhash_dedup.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that also are elsewhere. One of which nothing is left goes."""
+    """Documents without passages that also are elsewhere. One of which nothing is left goes; null and empty texts stay. Rows of equal text are copies of each other."""
     return suffix_dedup.without_repeats(docs, PASSAGE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it. Null sources are one source; null texts and texts without words are not taken."""
     return mixing.copies(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences. Null texts are as empty ones; null doc_ids stay null."""
     return packing.digest(docs)
 
 

@@ -21,8 +21,11 @@ from . import common
 HIDDEN, WINDOW = 8, 128
 #: Labelled documents to train on, about: the first by a hash of their ids.
 SAMPLE = 3000
-#: Bytes of each of them that may be drawn from, and steps of training.
-SAMPLE_BYTES, STEPS, BATCH, RATE = 20_000, 800, 192, 0.02
+#: Characters of each of them that windows are drawn from; of a longer text, so many pieces spread evenly over all of it.
+SAMPLE_CHARS, PIECES = 20_000, 20
+STEPS, BATCH, RATE = 800, 192, 0.02
+#: How much of the way from equal probabilities to certainty a text's best language must go, or the text is rejected.
+MARGIN = 2 / 15
 #: Windows that are labelled at once.
 LANES = 4096
 UNKNOWN = "und"
@@ -132,7 +135,7 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int
     r = np.random.default_rng(seed)
     pools = []
     for lang in langs:
-        own = b" ".join(t[:SAMPLE_BYTES] for t, x in zip(texts, labels, strict=True) if x == lang)
+        own = b" ".join(t for t, x in zip(texts, labels, strict=True) if x == lang)
         pools.append(np.frombuffer(own.ljust(window + 1), np.uint8))
     if len(langs) < 2:
         return m
@@ -176,7 +179,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     n = known.count()
     if n > sample:
         known = known.where(F.col("h") < -(2**63) + int(2**64 * (sample / n)))
-    rows = known.select("h", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang").distinct().orderBy("h", "text", "lang").limit(2 * sample).collect()
+    length, each = F.length("text"), SAMPLE_CHARS // PIECES
+    piece = lambda i: F.col("text").substr(F.lit(1) + F.floor(i * (length - each) / (PIECES - 1)).cast("int"), F.lit(each))
+    spread = F.when(length <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece), " "))
+    rows = known.select("h", spread.alias("text"), "lang").distinct().orderBy("h", "text", "lang").limit(2 * sample).collect()
     return train([r.text.encode() for r in rows], [r.lang for r in rows])
 
 
@@ -195,8 +201,9 @@ def predict(docs: DataFrame, m: Model) -> DataFrame:
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, m: Model, least: float = 0.35) -> DataFrame:
-    """The rows of docs whose text has letters and whose language has a score of least or more."""
+def identified(docs: DataFrame, m: Model, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs whose text has letters and whose language's score is margin of the way from equal probabilities to 1, or more. Null and empty texts have no letters."""
+    least = 1 / len(m.langs) + margin * (1 - 1 / len(m.langs)) - 1e-6
     common.small_batches(docs.sparkSession)
 
     def run(batches):
@@ -215,5 +222,9 @@ def held_out(docs: DataFrame):
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, learned from the rows that are not held out.
+
+    A null doc_id is not held out. Null text or text without letters: und, 0. Rows that repeat each have a row. No rows: no rows.
+    """
     own = docs.select("doc_id", "text", "lang")
     return predict(own, fit(own.where(~held_out(own)))).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")

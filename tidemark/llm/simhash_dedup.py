@@ -221,7 +221,8 @@ def _verified(radius: int):
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links that join the same fingerprints as all pairs within radius do. distinct: fp, each once."""
     n = common.partitions(distinct.sparkSession)
-    filed = common.map_batches(distinct.select("fp"), _variants(radius), "entry long, fp long")
+    # few rows grow to many: they are dealt out before
+    filed = common.map_batches(distinct.select("fp").repartition(n, "fp"), _variants(radius), "entry long, fp long")
     return common.map_batches(filed.repartition(n, "entry").sortWithinPartitions("entry"), _verified(radius), "a long, b long").distinct()
 
 
@@ -369,7 +370,7 @@ def alike_links(family: DataFrame, distinct: DataFrame, jaccard: float = JACCARD
 def wide_links(distinct: DataFrame, apart: int = APART, segments: int = SEGMENTS, jaccard: float = JACCARD) -> DataFrame:
     """a, b: verified links of names. distinct: fp (the name), hi, lo, sketch, each once."""
     n = common.partitions(distinct.sparkSession)
-    filed = common.map_batches(distinct.select("fp", "hi", "lo"), _wide_variants(segments), "entry long, fp long, hi long, lo long")
+    filed = common.map_batches(distinct.select("fp", "hi", "lo").repartition(n, "fp"), _wide_variants(segments), "entry long, fp long, hi long, lo long")
     found = common.map_batches(filed.repartition(n, "entry").sortWithinPartitions("entry"), _wide_candidates(apart), "a long, b long").distinct()
     return alike_links(components(found), distinct, jaccard)
 
@@ -411,4 +412,5 @@ def one_of_each(docs: DataFrame, apart: int = APART, segments: int = SEGMENTS, s
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row, as near_duplicates: null text is as empty, a null doc_id is the smallest only where there is no other, rows that repeat each have a row. No rows: no rows."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
