@@ -21,5 +21,9 @@ QUERIES = {
     "op8_chat": _over("conversations", chat.digest),
     "op9_media": _over("documents", media.digest),
     "op10_url_filters": lambda spark, sf_dir: url_filters.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
+    # of three operators, what SQL can say
+    "mixing_targets": _over("documents", mixing.target_rows),
+    "media_payloads": _over("documents", media.payload_rows),
+    "url_fixed_rules": _over("pages", url_filters.fixed_rows),
 }
-ORACLE = {"op8_chat": chat.ORACLE}
+ORACLE = {"op5_licenses": licenses.ORACLE, "op8_chat": chat.ORACLE, "op10_url_filters": url_filters.ORACLE, "mixing_targets": mixing.TARGETS, "media_payloads": media.PAYLOADS, "url_fixed_rules": url_filters.FIXED}

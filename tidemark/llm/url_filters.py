@@ -1,8 +1,8 @@
 """URL filters: fixed host and path rules, then association rules mined from labels.
 
 All of it is DataFrame operations. FP-growth finds the combinations of URL tokens that go with a
-label, of all tokens that blocked URLs have often enough; those that are in the same URLs are mined as one. A rule stays if its confidence and support are high enough and none of its
-parts is as sure. Each rule is filed under its rarest token; a URL's tokens look rules up there and the rest of
+label, of all tokens that blocked URLs have often enough; those that are in the same URLs are mined as one. A rule stays if its support is high enough, its confidence is at least
+half of the way from the share of blocked URLs to certainty, and none of its parts is as sure. Each rule is filed under its rarest token; a URL's tokens look rules up there and the rest of
 the rule is compared.
 """
 
@@ -12,10 +12,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Host, path and verdict of each fixed rule.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: A rule mined needs this share of the labelled URLs and this many of them, and this confidence.
-SUPPORT, LEAST, CONFIDENCE = 0.005, 20, 0.6
+#: A rule mined needs this share of the labelled URLs and this many of them, and goes so far of the way from the share of blocked URLs to certainty.
+SUPPORT, LEAST, SURE = 0.005, 20, 0.5
+#: Rules up to this number are sent to all executors; more are joined by a shuffle.
+SENT = 10_000
 _BLOCK = "=block"
 
 
@@ -53,11 +57,13 @@ def tokens_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(scheme), domains, words, names)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
-    """tokens, confidence, support of each rule that tells block. labelled: url, block (boolean); rows with nulls are left out."""
+def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, sure: float = SURE) -> DataFrame:
+    """tokens, confidence, support, lift (confidence over the share of blocked URLs) of each rule that tells block. labelled: url, block (boolean); rows with nulls are left out. No rows: no rules."""
     rows = labelled.where("url is not null and block is not null")
-    n = rows.count()
-    none = labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
+    n, blocked = rows.agg(F.count(F.lit(1)), F.count_if("block")).first()
+    base = blocked / max(n, 1)
+    confidence = base + sure * (1 - base)
+    none = labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double, lift double")
     share = max(support, least / max(n, 1))
     if share > 1:
         return none
@@ -67,20 +73,20 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
     known = rows.select("block", *(x.alias(k) for x, k in zip(name, ("x", "y"), strict=True)), F.explode("t").alias("token"))
     known = known.groupBy("token").agg(F.count_if("block").alias("blocked"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).where(F.col("blocked") >= share * n - 1e-6)
     classes = known.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("same")).select(F.col("same")[0].alias("token"), "same")
-    mined = classes.agg(F.collect_list("token").alias("mined"))  # one row, of no more than 1 / share of a URL's tokens
-    items = rows.crossJoin(F.broadcast(mined)).select(F.array_intersect("t", "mined").alias("t"), "block").select(F.when(F.col("block"), F.concat("t", F.array(F.lit(_BLOCK)))).otherwise(F.col("t")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items)
+    mined = classes.agg(F.collect_list("token")).scalar()  # one value, of no more than 1 / share of a URL's tokens
+    items = rows.select(F.array_intersect("t", mined).alias("t"), "block").select(F.when(F.col("block"), F.concat("t", F.array(F.lit(_BLOCK)))).otherwise(F.col("t")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share - 1e-12, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0] == _BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = rules.where(~F.array_contains("tokens", _BLOCK))
     # a rule one of whose parts is as sure adds nothing: look up each part with one token less
     parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).select("tokens", "confidence", F.array_remove("tokens", F.col("t")).alias("part"))
     known = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"))
     idle = parts.join(known, "part").where("c >= confidence").select("tokens").distinct()
-    rules = rules.join(idle, "tokens", "left_anti").withColumn("id", F.monotonically_increasing_id())
+    rules = rules.join(idle, "tokens", "left_anti").withColumn("id", F.col("tokens"))
     # each token may be any of those in the same URLs
     same = rules.select("id", "confidence", "support", F.explode("tokens").alias("token")).join(F.broadcast(classes), "token").groupBy("id").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.collect_list("same").alias("same"))
     every = F.aggregate("same", F.expr("array(cast(array() as array<string>))"), lambda acc, ms: F.flatten(F.transform(acc, lambda a: F.transform(ms, lambda m: F.concat(a, F.array(m))))))
-    return same.select(F.explode(every).alias("tokens"), "confidence", "support").select(F.array_sort("tokens").alias("tokens"), "confidence", "support")
+    return same.select(F.explode(every).alias("tokens"), "confidence", "support").select(F.array_sort("tokens").alias("tokens"), "confidence", "support", (F.col("confidence") / F.lit(base)).alias("lift"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -89,6 +95,8 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     filed = rules.select("tokens", F.explode("tokens").alias("token")).join(share, "token").groupBy("tokens").agg(F.min_by("token", F.struct("s", "token")).alias("token"))
     own = urls.select("url").where("url is not null").distinct().select("url", tokens_of(F.col("url")).alias("own"))
     asked = own.select("url", "own", F.explode("own").alias("token"))
+    filed = common.cut_lineage(filed)  # made by rounds of joins, and counted before it is sent
+    filed = F.broadcast(filed) if filed.count() <= SENT else filed
     return asked.join(filed, "token").where(F.size(F.array_except("tokens", "own")) == 0).select("url").distinct()
 
 
@@ -108,7 +116,48 @@ def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str, str]]
 
 
 def digest(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of a page are those of its number: toxic ones are to be blocked."""
+    """Labels of a page are those of its number: toxic ones are to be blocked.
+
+    A page with several labels is blocked if one is toxic; null labels tell nothing. Rows of pages that repeat each have a row; a null
+    page_id has no label. No labels: no mined rule. No pages: no rows.
+    """
     toxic = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("block"))
     own = pages.select("page_id", "url")
     return judge(own, mine(own.join(toxic, own["page_id"] == toxic["doc_id"]).select("url", "block")))
+
+
+def fixed_rows(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule and the fixed rules' verdict alone, which is null if none fits."""
+    url = F.col("url")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
+    return own.select("*", *(fixed(F.col("host"), F.col("path"), RULES, what).alias(n) for n, what in (("rule", None), ("verdict", 2))))
+
+
+#: The fixed rules in DuckDB.
+FIXED = f"""with ru(h, p, v) as (values {", ".join(map(str, RULES))}),
+u as (select page_id, row_number() over () as r, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+s as (select page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+m as (select r, h || p as rule, v, row_number() over (partition by r order by length(h || p) desc) as k from s join ru on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, v as verdict from s left join m on m.r = s.r and k = 1"""
+
+#: All of it in DuckDB; combinations grow by a token at a time, with the lists of URLs that have them.
+ORACLE = (
+    r"""with recursive uu as (select distinct url, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages where url is not null),
+hp as (select url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as q from uu),
+tk as (select url, unnest(list_distinct(['scheme:' || lower(split_part(url, '://', 1))] || list_transform(generate_series(1, len(string_split(host, '.'))), lambda i: 'host:' || array_to_string(string_split(host, '.')[i:], '.'))
+  || list_transform(list_filter(string_split_regex(lower(path), '[^\pL\pN]+'), lambda w: w <> ''), lambda w: 'path:' || w) || list_transform(list_filter(list_transform(string_split(q, '&'), lambda p: split_part(p, '=', 1)), lambda w: w <> ''), lambda w: 'key:' || w))) as t from hp where host <> ''),
+lb as (select row_number() over () as u, url, block from pages join (select doc_id, max(toxic) > 0 as block from labels where toxic is not null group by 1) on doc_id = page_id where url is not null),
+n as (select count(*) as n, count(*) filter (block) as b, greatest("""
+    + f"{SUPPORT}, {LEAST}.0"
+    + r""" / greatest(count(*), 1)) as share from lb),
+sg as (select t, us, bs from (select t, list(u) as us, list(u) filter (block) as bs from lb join tk using (url) group by t), n where len(bs) >= share * n - 1e-6),
+it(items, tail, us, bs) as (select [t], t, us, bs from sg union all select list_append(items, s.t), s.t, list_intersect(it.us, s.us), list_intersect(it.bs, s.bs) from it, sg s, n where s.t > it.tail and len(list_intersect(it.bs, s.bs)) >= share * n - 1e-6),
+ru as (select items, len(bs) / len(us) as c from it, n where len(bs) / len(us) >= b / n + """
+    + f"{SURE}"
+    + r""" * (1 - b / n)),
+mi as (select items from ru a where not exists (select 1 from ru p where len(p.items) = len(a.items) - 1 and list_has_all(a.items, p.items) and p.c >= a.c)),
+hi as (select distinct url from (select url, list(t) as ts from tk group by url) join mi on list_has_all(ts, items)),
+fx as ("""
+    + FIXED.replace("select page_id, coalesce", "select page_id, s.r, coalesce")
+    + """) select fx.page_id, host, path, rule, coalesce(fx.verdict, case when hi.url is null then 'allow' else 'block' end) as verdict from fx join (select row_number() over () as r, url from pages) pu on pu.r = fx.r left join hi on hi.url = pu.url"""
+)
