@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash_dedup as S
 from tidemark.llm.components import components
@@ -179,3 +180,60 @@ def test_alike_forest_of_two_blocks():
     rows, size = S.sketch_rows([np.array(h, "<u4").tobytes() for h in ([1, 2, 3, 4], [7, 8], [2, 3, 4], [1, 2, 3, 4])])
     assert sorted(S.alike_forest(rows, size, np.zeros(4, np.int64), 0.75)) == [(0, 2), (0, 3)]
     assert S.alike_forest(rows, size, np.array([0, 0, 0, 1]), 0.75) == [(0, 3), (3, 2)]
+
+
+def test_alike_forest_of_groups():
+    rows, size = S.sketch_rows([np.array(h, "<u4").tobytes() for h in ([1, 2, 3, 4], [7, 8], [2, 3, 4], [1, 2, 3, 4], [7, 9])])
+    # the second and third are joined already, and by the third all but the last
+    assert len(S.alike_forest(rows, size, np.zeros(5, np.int64), 0.75, np.array([5, 3, 3, 5, 4]))) == 1
+    assert S.alike_forest(rows, size, np.zeros(5, np.int64), 0.75, np.array([1, 1, 1, 1, 2])) == []
+
+
+def family_of(spark, hashes: list[list[int]]):
+    rows = [(i + 1, 1, bytearray(np.array(sorted(h), "<u4").tobytes())) for i, h in enumerate(hashes)]
+    return spark.createDataFrame([(i, k) for i, k, _ in rows], "node long, label long"), spark.createDataFrame([(i, x) for i, _, x in rows], "fp long, sketch binary")
+
+
+def test_links_of_a_large_group_are_as_many_as_its_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    for n in (60, 120):
+        family, distinct = family_of(spark, [[*range(50), 1000 + i] for i in range(n)])
+        assert n - 1 <= S.alike_links(family, distinct).count() <= 1.1 * n  # not n * n / BLOCK
+    one = distinct.select(F.lit(1).alias("label"), F.lit(1).alias("g"), "fp", "sketch")
+    assert S.between_groups(one).count() == 0
+
+
+def test_texts_meet_all_of_other_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    distinct = family_of(spark, [[i] for i in range(100)])[1]
+    own = distinct.select(F.lit(1).alias("label"), F.greatest("fp", F.lit(80)).alias("g"), "fp", F.encode(F.col("fp").cast("string"), "utf-8").alias("sketch"))
+    met, tasks = set(), {}
+    for x in S.between_groups(own).collect():
+        tasks.setdefault((x.i, x.j), []).append((int(x.sketch), x.block))
+    for (i, j), rows in tasks.items():
+        met |= {tuple(sorted((x, y))) for x, p in rows for y, q in rows if x != y and (i == j or p != q)}
+    assert met >= {(x, y) for x in range(1, 101) for y in range(81, 101) if x < y}
+    # 20 others in 5 blocks, the 80 in 20 blocks, which don't meet each other
+    assert sum(map(len, tasks.values())) == 20 * 25 + 80 * 5
+
+
+@pytest.mark.parametrize("block", [128, 8, 3])
+def test_alike_links_join_as_all_pairs_do(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    r = random.Random(block)
+    hashes = [set(r.sample(range(10**6), 40))]
+    while len(hashes) < 150:
+        x = set(r.choice(hashes))
+        for _ in range(r.randint(2, 6)):
+            x ^= {r.choice(sorted(x)), r.randrange(10**6)}
+        hashes.append(x)
+    family, distinct = family_of(spark, hashes)
+    got = {x.node: x.label for x in components(S.alike_links(family, distinct)).collect()}
+    up = list(range(150))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for i, j in itertools.combinations(range(150), 2):
+        if len(hashes[i] & hashes[j]) >= 0.8 * len(hashes[i] | hashes[j]):
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    want = [root(i) + 1 for i in range(150)]
+    assert [got.get(i + 1, i + 1) for i in range(150)] == want and 1 < len(set(want)) < 150

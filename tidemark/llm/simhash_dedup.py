@@ -11,9 +11,14 @@ share 0.8 of their five-word shingles (Jaccard), ``one_of_each`` takes 128 bits
 distinct shingles vote; 19 of them differ at 0.8 on the average, with a deviation of 4. They are cut into
 ``SEGMENTS`` parts under the same wildcards, which finds all within 2 * SEGMENTS - 1 bits and
 most of those up to ``APART``. What links within ``APART`` join, in whatever entries, is a family; it holds all
-candidates. In a family all texts are compared, block by block, by the least ``SKETCH`` hashes of both texts'
+candidates. In a family all texts are compared by the least ``SKETCH`` hashes of both texts'
 shingles, which give the Jaccard index itself where there are no more shingles, else an estimate
 with a deviation of 0.035. Only what that links is near copies: a family may have many groups or none.
+
+A large group must not cost its square. So blocks of a family are compared within themselves first, then the
+least texts of the groups found, until they fit one block. What that joins is one group and compared no more, but
+every text is compared with all in other groups. Links are told of groups, each to the least that it is joined to, so
+there are about as many as texts.
 """
 
 from __future__ import annotations
@@ -131,8 +136,8 @@ def _variants(radius: int):
     return run
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of links among 0..n-1, as many as join the same nodes."""
+def _union(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of links among 0..n-1: the least node that each reaches, and as many links as join the same nodes."""
     up, out = list(range(n)), []
 
     def root(x: int) -> int:
@@ -146,7 +151,20 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         if x != y:
             up[max(x, y)] = min(x, y)
             out.append((i, j))
-    return out
+    return np.array([root(i) for i in range(n)], np.int64), out
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The latter only."""
+    return _union(n, a, b)[1]
+
+
+def star(a: np.ndarray, b: np.ndarray) -> dict:
+    """Links that join what a and b do: of each name but the least, to the least that it reaches."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    least = _union(len(names), at[: len(a)], at[len(a) :])[0]
+    other = np.flatnonzero(least != np.arange(len(names)))
+    return {"a": names[least[other]], "b": names[other]}
 
 
 def links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -316,55 +334,97 @@ def _wide_candidates(apart: int):
     return run
 
 
-def alike_forest(rows: np.ndarray, size: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Of sketches, as many links as join what all links of likeness least or more join. Where there are two blocks: what links between them join."""
+def alike_forest(rows: np.ndarray, size: np.ndarray, block: np.ndarray, least: float, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Of sketches, as many links as join what all links of likeness least or more join. Where there are two blocks: what links between them join. Rows of one group are joined already."""
     out, left, queue, two = [], np.arange(len(rows)), [], len(np.unique(block)) > 1
+    group = left if group is None else group
     while len(left):
         if not queue:  # a component begins; what it reaches leaves the rest, so a dense group costs little
-            queue, left = [int(left[0])], left[1:]
+            own = group[left] == group[left[0]]
+            queue, left = left[own].tolist(), left[~own]
         now = queue.pop()
         asked = left[block[left] != block[now]] if two else left
         hit = asked[likenesses(rows[now, : size[now]], rows[asked], size[asked]) >= least - 1e-9]
-        out += [(now, i) for i in hit.tolist()]
-        queue += hit.tolist()
-        left = left[~np.isin(left, hit)]
+        reached, first = np.unique(group[hit], return_index=True)
+        out += [(now, i) for i in hit[first].tolist()]
+        own = np.isin(group[left], reached)
+        queue += left[own].tolist()
+        left = left[~own]
     return out
 
 
 def _alike(least: float):
-    """Rows in order of label, i and j: verified links within each family's pair of blocks, by name."""
+    """Rows in order of label, i and j: names of groups, each with the least that verified links within each family's pair of blocks join it to."""
 
     def solve(held):
-        name, block = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        x = np.array(alike_forest(*sketch_rows([x[2] for x in held]), block, least), np.int64).reshape(-1, 2)
-        return {"a": name[x[:, 0]], "b": name[x[:, 1]]}
+        group, block = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        x = np.array(alike_forest(*sketch_rows([x[2] for x in held]), block, least, group), np.int64).reshape(-1, 2)
+        return star(group[x[:, 0]], group[x[:, 1]])
 
     def run(batches):
         held, key = [], None
         for b in batches:
-            for *k, name, block, sketch in zip(*(b[c].to_pylist() for c in ("label", "i", "j", "fp", "block", "sketch")), strict=True):
+            for *k, group, block, sketch in zip(*(b[c].to_pylist() for c in ("label", "i", "j", "g", "block", "sketch")), strict=True):
                 if k != key and held:
                     if len(held) > 1:
                         yield solve(held)
                     held = []
                 key = k
-                held.append((name, block, sketch))
+                held.append((group, block, sketch))
         if len(held) > 1:
             yield solve(held)
 
     return run
 
 
+def within_blocks(own: DataFrame) -> DataFrame:
+    """Rows of _alike that compare each text with about BLOCK of its family: each row of own (label, fp, sketch) once. n: the texts of its family there."""
+    size = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    block = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    return own.join(size, "label").select("label", block.alias("i"), block.alias("j"), F.col("fp").alias("g"), block.alias("block"), "sketch", "n")
+
+
+def between_groups(own: DataFrame) -> DataFrame:
+    """Rows of _alike that compare each text with all that are in other groups of its family. own: label, g, fp, sketch.
+
+    The largest group is dealt out in blocks that meet the blocks of all others only; a family that is one group isn't dealt out.
+    """
+    size = own.groupBy("label", "g").agg(F.count(F.lit(1)).alias("n"))
+    size = size.groupBy("label").agg(F.max(F.struct("n", "g")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    cuts = lambda n: F.greatest(F.ceil(n / LARGEST), F.least(F.ceil(n / BLOCK), F.lit(CUTS))).cast("long")
+    size = size.select("label", F.col("top.g").alias("top"), cuts(F.col("n") - F.col("top.n")).alias("rest"), cuts(F.col("top.n")).alias("most"))
+    in_top, hashed = F.col("g") == F.col("top"), F.xxhash64("fp")
+    own = own.join(size, "label").withColumn("block", F.when(in_top, F.col("rest") + F.pmod(hashed, F.col("most"))).otherwise(F.pmod(hashed, F.col("rest"))))
+    met = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(in_top, 0).otherwise(F.col("most")))
+    pair = F.explode(F.transform(met, lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("p")
+    return own.select("label", "g", "block", "sketch", pair).select("label", "p.i", "p.j", "g", "block", "sketch")
+
+
 def alike_links(family: DataFrame, distinct: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """a, b: verified links of names, which join what all alike pairs in each family join. family: node (a name) and label."""
-    size = family.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.greatest(F.ceil(F.col("n") / LARGEST), F.least(F.ceil(F.col("n") / BLOCK), F.lit(CUTS)))
-    own = family.join(size, "label").select(F.col("node").alias("fp"), "label", cuts.cast("long").alias("cuts"))
-    own = own.join(distinct.select("fp", "sketch"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("cuts")))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("p")
-    dealt = own.select("label", "fp", "block", "sketch", pair).select("label", "p.i", "p.j", "fp", "block", "sketch")
+    """a, b: links of names, which join what all alike pairs in each family join. family: node (a name) and label."""
     n = common.partitions(distinct.sparkSession)
-    return common.map_batches(dealt.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j"), _alike(jaccard), "a long, b long")
+
+    def found(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("label", "i", "j", "g", "block", "sketch").repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j")
+        return common.map_batches(dealt, _alike(jaccard), "a long, b long")
+
+    own = common.cut_lineage(family.withColumnRenamed("node", "fp").join(distinct.select("fp", "sketch"), "fp").select("label", "fp", "sketch"))
+    # families of one block are done at once; of the others the least of each group found goes on, half of the texts at most
+    dealt = within_blocks(own)
+    made = common.cut_lineage(found(dealt))
+    out, large = made, dealt.where(F.col("n") > BLOCK).select("label", F.col("g").alias("fp"), "sketch")
+    grouped, left = large.withColumn("g", F.col("fp")), large
+    while True:
+        to = made.select(F.col("b").alias("g"), F.col("a").alias("to"))
+        grouped = grouped.join(to, "g", "left").select("label", "fp", "sketch", F.coalesce("to", "g").alias("g"))
+        left = common.cut_lineage(left.join(made.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi").select("label", "fp", "sketch"))
+        if left.isEmpty():
+            break
+        dealt = within_blocks(left)
+        made = common.cut_lineage(found(dealt))
+        out = out.union(made)
+        left = dealt.where(F.col("n") > BLOCK).select("label", F.col("g").alias("fp"), "sketch")
+    return out.union(found(between_groups(common.cut_lineage(grouped))).distinct())
 
 
 def wide_links(distinct: DataFrame, apart: int = APART, segments: int = SEGMENTS, jaccard: float = JACCARD) -> DataFrame:
