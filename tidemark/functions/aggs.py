@@ -41,6 +41,34 @@ class Agg:
         return Agg(lambda c: self.build(lambda n: F.when(where(c), c(n))))
 
 
+@dataclass(frozen=True)
+class Fold:
+    """An aggregate that is found from its values for parts of a group: kind is sum, min or max of the parts' values, empty what a group without rows has."""
+
+    part: Agg
+    kind: str
+    empty: float | int | None = None
+
+    def merge(self, c: Column) -> Column:
+        return {"sum": F.sum, "min": F.min, "max": F.max}[self.kind](c)
+
+
+def tally() -> Fold:
+    return Fold(count(), "sum", 0)
+
+
+def summed(x: Expr) -> Fold:
+    return Fold(Agg(lambda c: F.sum(resolve(x, c))), "sum", 0)
+
+
+def least(x: Expr) -> Fold:
+    return Fold(smallest(x), "min")
+
+
+def most(x: Expr) -> Fold:
+    return Fold(biggest(x), "max")
+
+
 def combine(f: Agg, g: Agg, h: Callable[[Column, Column], Column]) -> Agg:
     return Agg(lambda c: h(f.on(c), g.on(c)))
 

@@ -1,7 +1,8 @@
 """Predicates between a right row v and a left row u, as Columns with what a join needs to know.
 
 ``anti`` predicates may drive a join; the rest only screens. ``reach`` tells how far apart two
-rows that fit may lie, or None if there is no bound: then bins can't serve the join.
+rows that fit may lie, or None if there is no bound: then bins can't serve the join. ``order`` and ``span``
+say what a predicate means where running sums can stand for pairs, ``sees`` which columns it looks at besides places.
 """
 
 from __future__ import annotations
@@ -27,26 +28,51 @@ class Side:
         return self.end - self.start
 
 
+@dataclass(frozen=True)
+class Order:
+    """The predicate holds just if v's place (of v's columns) comes before u's in order of numbers, or equals it if inclusive. Each is one column or two."""
+
+    v: Callable[[Side], list[Column]]
+    u: Callable[[Side], list[Column]]
+    inclusive: bool = False
+
+
+@dataclass(frozen=True)
+class Span:
+    """The predicate holds just if v starts no later than gap after u's end, ends no sooner than gap before u's start, and both are so long at least."""
+
+    gap: float
+    length: float | None = None
+
+
 @dataclass(frozen=True)
 class Pred:
     name: str
     test: Callable[[Side, Side], Column]
     anti: bool = False
     reach: float | None = None
+    order: Order | None = None
+    span: Span | None = None
+    #: Columns besides the place (chrom, start, end) that the test looks at; None: any.
+    sees: tuple[str, ...] | None = ()
 
     def __call__(self, v: Side, u: Side) -> Column:
         return self.test(v, u)
 
     def __and__(self, other: Pred) -> Pred:
         near = [r for r in (self.reach, other.reach) if r is not None]
-        return Pred(f"({self.name} and {other.name})", lambda v, u: self(v, u) & other(v, u), self.anti or other.anti, min(near) if near else None)
+        return Pred(f"({self.name} and {other.name})", lambda v, u: self(v, u) & other(v, u), self.anti or other.anti, min(near) if near else None, sees=_both(self, other))
 
     def __or__(self, other: Pred) -> Pred:
         far = [self.reach, other.reach]
-        return Pred(f"({self.name} or {other.name})", lambda v, u: self(v, u) | other(v, u), self.anti and other.anti, None if None in far else max(far))
+        return Pred(f"({self.name} or {other.name})", lambda v, u: self(v, u) | other(v, u), self.anti and other.anti, None if None in far else max(far), sees=_both(self, other))
 
     def __invert__(self) -> Pred:
-        return Pred(f"not {self.name}", lambda v, u: ~self(v, u))
+        return Pred(f"not {self.name}", lambda v, u: ~self(v, u), sees=self.sees)
+
+
+def _both(a: Pred, b: Pred) -> tuple[str, ...] | None:
+    return None if a.sees is None or b.sees is None else tuple(dict.fromkeys(a.sees + b.sees))
 
 
 def requires(*preds: Pred) -> Pred:
@@ -56,35 +82,40 @@ def requires(*preds: Pred) -> Pred:
     return out
 
 
-def general(test: Callable[[Side, Side], Column]) -> Pred:
-    return Pred("general", test)
+def general(test: Callable[[Side, Side], Column], sees: tuple[str, ...] | None = None) -> Pred:
+    return Pred("general", test, sees=sees)
 
 
-def antimonotonic(test: Callable[[Side, Side], Column], reach: float | None = None) -> Pred:
-    return Pred("antimonotonic", test, True, reach)
+def antimonotonic(test: Callable[[Side, Side], Column], reach: float | None = None, sees: tuple[str, ...] | None = None) -> Pred:
+    return Pred("antimonotonic", test, True, reach, sees=sees)
 
 
 # Points: numbers in order.
 
 
+def _starts(sign: int = 1, inclusive: bool = False) -> Order:
+    at = lambda s: [s.start * sign]
+    return Order(at, at, inclusive)
+
+
 def eq() -> Pred:
     return Pred("eq", lambda v, u: v.start == u.start, True, 0)
 
 
 def lt() -> Pred:
-    return Pred("lt", lambda v, u: v.start < u.start, True)
+    return Pred("lt", lambda v, u: v.start < u.start, True, order=_starts())
 
 
 def lteq() -> Pred:
-    return Pred("lteq", lambda v, u: v.start <= u.start, True)
+    return Pred("lteq", lambda v, u: v.start <= u.start, True, order=_starts(inclusive=True))
 
 
 def gt() -> Pred:
-    return Pred("gt", lambda v, u: v.start > u.start)
+    return Pred("gt", lambda v, u: v.start > u.start, order=_starts(-1))
 
 
 def gteq() -> Pred:
-    return Pred("gteq", lambda v, u: v.start >= u.start)
+    return Pred("gteq", lambda v, u: v.start >= u.start, order=_starts(-1, True))
 
 
 def _apart(v: Side, u: Side, whole: bool) -> Column:
@@ -131,7 +162,7 @@ def shared(v: Side, u: Side) -> Column:
 
 
 def is_before() -> Pred:
-    return Pred("isBefore", lambda v, u: F.struct(v.chrom, v.start, v.end) < F.struct(u.chrom, u.start, u.end), True)
+    return Pred("isBefore", lambda v, u: F.struct(v.chrom, v.start, v.end) < F.struct(u.chrom, u.start, u.end), True, order=Order(lambda s: [s.start, s.end], lambda s: [s.start, s.end]))
 
 
 def same_chrom() -> Pred:
@@ -151,19 +182,19 @@ def same_end() -> Pred:
 
 
 def start_before() -> Pred:
-    return Pred("startBefore", lambda v, u: _same(v, u) & (v.start < u.start), True)
+    return Pred("startBefore", lambda v, u: _same(v, u) & (v.start < u.start), True, order=_starts())
 
 
 def start_after() -> Pred:
-    return Pred("startAfter", lambda v, u: _same(v, u) & (v.start > u.end))
+    return Pred("startAfter", lambda v, u: _same(v, u) & (v.start > u.end), order=Order(lambda s: [-s.start], lambda s: [-s.end]))
 
 
 def end_before() -> Pred:
-    return Pred("endBefore", lambda v, u: _same(v, u) & (v.end < u.start))
+    return Pred("endBefore", lambda v, u: _same(v, u) & (v.end < u.start), order=Order(lambda s: [s.end], lambda s: [s.start]))
 
 
 def end_after() -> Pred:
-    return Pred("endAfter", lambda v, u: _same(v, u) & (v.end > u.end))
+    return Pred("endAfter", lambda v, u: _same(v, u) & (v.end > u.end), order=Order(lambda s: [-s.end], lambda s: [-s.end]))
 
 
 def overlap_start() -> Pred:
@@ -177,11 +208,11 @@ def overlap_end() -> Pred:
 def overlap(n: int = 1, strict: bool = True) -> Pred:
     """Share at least n; strict: touching isn't overlapping, even for n 0."""
     test = lambda v, u: _same(v, u) & (shared(v, u) >= n) & ((v.end > u.start) & (u.end > v.start) if strict else (v.end >= u.start) & (u.end >= v.start))
-    return Pred(f"overlap({n})", test, True, 0)
+    return Pred(f"overlap({n})", test, True, 0, span=Span(-n, n) if n >= 1 else None if strict else Span(0, 0))
 
 
 def near(n: int) -> Pred:
-    return Pred(f"near({n})", lambda v, u: distance(v, u) <= n, True, n)
+    return Pred(f"near({n})", lambda v, u: distance(v, u) <= n, True, n, span=Span(n))
 
 
 def interval_dl(n: int) -> Pred:
@@ -219,7 +250,7 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def same_strand() -> Pred:
-    return Pred("sameStrand", lambda v, u: _same(v, u) & compatible(v.col("strand"), u.col("strand")))
+    return Pred("sameStrand", lambda v, u: _same(v, u) & compatible(v.col("strand"), u.col("strand")), sees=("strand",))
 
 
 def plus_strand(strand: Column) -> Column:
@@ -237,13 +268,13 @@ def between(lo: Pred, hi: Pred) -> Pred:
 def based_on_start(pred: Pred) -> Pred:
     """pred between the starts alone."""
     at = lambda s: Side(s.chrom, s.start, s.start, s.col)
-    return Pred(f"start {pred.name}", lambda v, u: pred(at(v), at(u)), pred.anti, pred.reach)
+    return Pred(f"start {pred.name}", lambda v, u: pred(at(v), at(u)), pred.anti, pred.reach, sees=pred.sees)
 
 
 def based_on_end(pred: Pred) -> Pred:
     """pred between the ends alone."""
     at = lambda s: Side(s.chrom, s.end, s.end, s.col)
-    return Pred(f"end {pred.name}", lambda v, u: pred(at(v), at(u)), pred.anti, pred.reach)
+    return Pred(f"end {pred.name}", lambda v, u: pred(at(v), at(u)), pred.anti, pred.reach, sees=pred.sees)
 
 
 can_see = near

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import Pred, Side, requires
+from ..functions.aggs import Fold
+from ..functions.predicates import Order, Pred, Side, requires
 
 LEFT, RIGHT = "", "r_"
 #: Bins of intervals are powers of two between these. At twice the mean length or more, all rows together lie in three bins a row at most, whatever the longest is.
@@ -46,11 +47,11 @@ def _bins(lo: Column, hi: Column, width: int) -> Column:
     return F.explode(F.sequence(at(lo), F.greatest(at(lo), at(hi))))
 
 
-def pairs(us: DataFrame, vs: DataFrame, *preds: Pred, by: tuple[str, ...] = (), chrom: str | None = "chrom", start: str = "start", end: str = "end", how: str = "inner", width: int | None = None) -> DataFrame:
+def pairs(us: DataFrame, vs: DataFrame, *preds: Pred, by: tuple[str, ...] = (), chrom: str | None = "chrom", start: str = "start", end: str = "end", how: str = "inner", width: int | None = None, reach: Column | None = None) -> DataFrame:
     """us' columns and vs' with prefix r_, of pairs that fit all preds and agree in by (and chrom).
 
     how left: a row of us without a match is there once for each of its bins, with nulls;
-    group by it. Unbounded predicates make a join on by and chrom with a range screen.
+    group by it. Unbounded predicates make a join on by and chrom with a range screen. reach: of each row of us its own, where one is known.
     """
     pred = requires(*preds)
     u, v = side(LEFT, chrom, start, end), side(RIGHT, chrom, start, end)
@@ -63,10 +64,10 @@ def pairs(us: DataFrame, vs: DataFrame, *preds: Pred, by: tuple[str, ...] = (),
         return us.join(right, cond, how)
     if start == end and pred.reach == 0:  # points without a distance between them are equal
         return us.join(right, cond & (u.start == v.start), how)
-    width = width or bin_width(us, vs, start, end, pred.reach)
-    left = us.withColumn("_bin", _bins(u.start - pred.reach, u.end + pred.reach, width))
+    width, reach = width or bin_width(us, vs, start, end, pred.reach), F.lit(pred.reach) if reach is None else reach
+    left = us.withColumn("_bin", _bins(u.start - reach, u.end + reach, width))
     right = right.withColumn("r__bin", _bins(v.start, v.end, width))
-    once = F.col("_bin") == F.floor(F.greatest(u.start - pred.reach, v.start) / width)
+    once = F.col("_bin") == F.floor(F.greatest(u.start - reach, v.start) / width)
     return left.join(right, cond & (F.col("_bin") == F.col("r__bin")) & once, how).drop("_bin", "r__bin")
 
 
@@ -94,6 +95,73 @@ def grouped(us: DataFrame, vs: DataFrame, *preds: Pred, aggs: dict, by: tuple[st
     return repeated(out).select(*us.columns, *aggs)
 
 
+def _seen(df: DataFrame, pred: Pred, *places: str) -> list[str]:
+    """The columns of df that pred looks at."""
+    return list(dict.fromkeys((*places, *(df.columns if pred.sees is None else pred.sees))))
+
+
+def _with(us: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """us left-joined to a row for each distinct value of on, nulls too."""
+    found, same = found.withColumnsRenamed({c: "_at_" + c for c in on}), F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col("_at_" + c))
+    return us.join(found, same, "left").drop(*("_at_" + c for c in on))
+
+
+def _before(points: DataFrame, parts: DataFrame, keys: list[str], order: Order, folds: dict[str, Fold], u: Side, v: Side) -> DataFrame:
+    """points with folds _f_name of the parts that come before it: running folds over both in one order."""
+    place = lambda cols: (cols[0].alias("_pos"), (cols[1] if len(cols) > 1 else F.lit(0)).alias("_then"))
+    types = {f.name: f.dataType for f in parts.schema}
+    u_type = points.select(F.struct(*points.columns)).schema[0].dataType
+    left = points.select(*keys, *place(order.u(u)), F.lit(int(order.inclusive)).alias("_kind"), F.struct(*points.columns).alias("_u"), *(F.lit(None).cast(types[f"_p_{n}"]).alias(f"_p_{n}") for n in folds))
+    right = parts.select(*keys, *place(order.v(v)), F.lit(int(not order.inclusive)).alias("_kind"), F.lit(None).cast(u_type).alias("_u"), *(f"_p_{n}" for n in folds))
+    every = left.union(right).where("_pos is not null")
+    for kind in dict.fromkeys(f.kind for f in folds.values()):
+        every = running(every, keys, "_pos", ["_then", "_kind"], {f"_f_{n}": F.col(f"_p_{n}") for n, f in folds.items() if f.kind == kind}, kind=kind)
+    return every.where("_u is not null").select("_u.*", *(f"_f_{n}" for n in folds))
+
+
+def folded(us: DataFrame, vs: DataFrame, *preds: Pred, folds: dict[str, Fold], by: tuple[str, ...] = (), chrom: str | None = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+    """Each row of us (repeats too) with folds of its matches; rows without a match stay. No interval may end before it starts.
+
+    Rows that are alike in all that the predicates see are taken together before they are compared, so pairs grow with
+    the distinct values. Where the predicate is an order, running folds take the place of pairs; sums over a span are the difference of two.
+    """
+    pred, keys = requires(*preds), [*by, *((chrom,) if chrom else ())]
+    on, of = (_seen(df, pred, *keys, start, end) for df in (us, vs))
+    points, parts = us.select(*on).distinct(), vs.groupBy(*of).agg(*(f.part.on().alias(f"_p_{n}") for n, f in folds.items()))
+    s, span = side(LEFT, chrom, start, end), pred.span
+    if pred.order:
+        found = _before(points, parts, keys, pred.order, folds, s, s)
+    elif span and all(f.kind == "sum" for f in folds.values()):
+        if span.length is not None:
+            points, parts = points.where(s.size >= span.length), parts.where(s.size >= span.length)
+        started = Order(lambda v: [v.start], lambda u: [u.end + span.gap], True)
+        ended = Order(lambda v: [v.end], lambda u: [u.start - span.gap])
+        found = _before(points, parts, keys, started, folds, s, s).withColumnsRenamed({f"_f_{n}": f"_s_{n}" for n in folds})
+        found = _with(found, _before(points, parts, keys, ended, folds, s, s), on)
+        found = found.select(*on, *((F.col(f"_s_{n}") - F.coalesce(f"_f_{n}", F.lit(0))).alias(f"_f_{n}") for n in folds))
+    else:
+        width = bin_width(us, vs, start, end, pred.reach) if pred.reach is not None else None
+        found = pairs(points, parts, pred, by=by, chrom=chrom, start=start, end=end, width=width)
+        found = found.groupBy(*on).agg(*(f.merge(F.col(f"{RIGHT}_p_{n}")).alias(f"_f_{n}") for n, f in folds.items()))
+    value = lambda n, f: F.col(f"_f_{n}") if f.empty is None else F.coalesce(F.col(f"_f_{n}"), F.lit(f.empty))
+    return _with(us, found, on).select(*us.columns, *(value(n, f).alias(n) for n, f in folds.items()))
+
+
+def first_matches(us: DataFrame, vs: DataFrame, *preds: Pred, n: int, names: tuple[str, ...], into: str = "matches", by: tuple[str, ...] = (), chrom: str | None = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+    """As matches, the first n only: of rows that predicates see alike no more than n take part."""
+    pred, keys = requires(*preds), [*by, *((chrom,) if chrom else ())]
+    on, of = (_seen(df, pred, *keys, start, end) for df in (us, vs))
+    top = lambda df, cols, order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*cols).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    width = bin_width(us, vs, start, end, pred.reach) if pred.reach is not None else None
+    rows = vs.select(*dict.fromkeys((*of, *names)))
+    found = top(pairs(us.select(*on).distinct(), top(rows, of, names), pred, by=by, chrom=chrom, start=start, end=end, width=width), on, [RIGHT + c for c in names])
+    found = found.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*(F.col(RIGHT + c).alias(c) for c in names)))).alias(into))
+    out = _with(us, found, on)
+    return out.withColumn(into, F.coalesce(into, F.array().cast(out.schema[into].dataType)))
+
+
 def without(us: DataFrame, vs: DataFrame, *preds: Pred, by: tuple[str, ...] = (), chrom: str | None = "chrom", start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
     """Rows of us that no row of vs matches. Rows that have a match are told by what they hold; no match is counted."""
     hit = prefixed(pairs(us, vs, *preds, by=by, chrom=chrom, start=start, end=end, width=width).select(*us.columns).distinct(), "h_")
@@ -147,13 +215,14 @@ def ratio_pairs(us: DataFrame, vs: DataFrame, key: str, x: float, *screens: Pred
     return left.join(right, cond).drop("_bin", "r__bin")
 
 
-def running(df: DataFrame, keys: list[str], pos: str, order: list, into: dict[str, Column], stretch: float = STRETCH, best: bool = False, own: bool = True) -> DataFrame:
-    """df and for each name of into the sum (best: the maximum) of its value over rows of the same keys up to a row in order of pos, then order; own: the row's too.
+def running(df: DataFrame, keys: list[str], pos: str, order: list, into: dict[str, Column], stretch: float = STRETCH, best: bool = False, own: bool = True, kind: str | None = None) -> DataFrame:
+    """df and for each name of into the sum (best: the maximum; or as kind says, sum, min or max) of its value over rows of the same keys up to a row in order of pos, then order; own: the row's too.
 
     Summed in stretches of positions; a stretch's rows are one window, and the stretches before come from a table of
     one row a stretch, so no task holds a whole key.
     """
-    gather = F.max if best else F.sum
+    kind = kind or ("max" if best else "sum")
+    gather = {"sum": F.sum, "min": F.min, "max": F.max}[kind]
     cut = df.withColumns({"_stretch": F.floor(F.col(pos) / stretch)} | {f"_value_{n}": v for n, v in into.items()})
     sums = cut.groupBy(*keys, "_stretch").agg(*(gather(f"_value_{n}").alias(f"_sum_{n}") for n in into))
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,7 +230,8 @@ def running(df: DataFrame, keys: list[str], pos: str, order: list, into: dict[st
     inside = Window.partitionBy(*keys, "_stretch").orderBy(pos, *order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     out = cut.withColumns({f"_inside_{n}": gather(f"_value_{n}").over(inside) for n in into}).join(sums, [*keys, "_stretch"])
     zero = F.lit(0)
-    both = {n: F.greatest(f"_inside_{n}", f"_before_{n}") if best else F.coalesce(f"_inside_{n}", zero) + F.coalesce(f"_before_{n}", zero) for n in into}
+    meet = {"sum": lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), "min": F.least, "max": F.greatest}[kind]
+    both = {n: meet(f"_inside_{n}", f"_before_{n}") for n in into}
     return out.withColumns(both).select(*df.columns, *into)
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggs import Agg, collected
+from ..functions.aggs import Agg, Fold, collected
 from ..functions.predicates import Pred, Side, antimonotonic
 from . import joins
 
@@ -140,19 +140,29 @@ class Joined:
     us: OrderedFrame
     vs: OrderedFrame
 
-    def on(self, *preds: Pred, names: tuple[str, ...], where: Callable[[], Column] | None = None, into: str = "matches", first: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-        """Each row of us with the sorted array of its matches (named columns of vs). One predicate must be antimonotonic.
-
-        where screens pairs (vs' columns with prefix r_); first keeps so many of the matches.
-        """
+    def _sides(self, preds: tuple[Pred, ...], where: Callable[[], Column] | None, sees: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame, list[Pred], dict]:
         if not any(p.anti for p in preds):
             raise ValueError("one predicate at least must be antimonotonic")
-        start, end = self.us.keys[0], self.us.keys[-1]
         others = self.vs.df.withColumnsRenamed({v: u for u, v in zip(self.us.keys, self.vs.keys, strict=True) if u != v})
-        screens = [Pred("where", lambda v, u: where())] if where else []
-        out = joins.matches(self.us.df, others, *preds, *screens, names=names, into=into, by=by, chrom=None, start=start, end=end)
-        return out.withColumn(into, F.slice(into, 1, first)) if first else out
+        screens = [Pred("where", lambda v, u: where(), sees=sees)] if where else []
+        return self.us.df, others, [*preds, *screens], {"chrom": None, "start": self.us.keys[0], "end": self.us.keys[-1]}
 
-    def using(self, test: Callable[[Side, Side], Column], names: tuple[str, ...], reach: float | None = None, **how) -> DataFrame:
-        """The same by any function of a right and a left row. reach: how far apart rows that fit may lie, if there is a bound."""
-        return self.on(antimonotonic(test, reach), names=names, **how)
+    def on(self, *preds: Pred, names: tuple[str, ...], where: Callable[[], Column] | None = None, into: str = "matches", first: int | None = None, by: tuple[str, ...] = (), sees: tuple[str, ...] | None = None) -> DataFrame:
+        """Each row of us with the sorted array of its matches (named columns of vs). One predicate must be antimonotonic.
+
+        where screens pairs (vs' columns with prefix r_) by the columns sees (default: any); first keeps so many of the matches.
+        """
+        us, vs, every, how = self._sides(preds, where, sees)
+        if first:
+            return joins.first_matches(us, vs, *every, n=first, names=names, into=into, by=by, **how)
+        return joins.matches(us, vs, *every, names=names, into=into, by=by, **how)
+
+    def fold(self, *preds: Pred, where: Callable[[], Column] | None = None, by: tuple[str, ...] = (), sees: tuple[str, ...] | None = None, **folds: Fold) -> DataFrame:
+        """Each row of us with folds of its matches, which are never gathered."""
+        us, vs, every, how = self._sides(preds, where, sees)
+        return joins.folded(us, vs, *every, folds=folds, by=by, **how)
+
+    def using(self, test: Callable[[Side, Side], Column], names: tuple[str, ...] = (), reach: float | None = None, sees: tuple[str, ...] | None = None, folds: dict[str, Fold] | None = None, **how) -> DataFrame:
+        """The same by any function of a right and a left row, with matches or folds of them. reach: how far apart rows that fit may lie, if there is a bound; sees: what it looks at besides keys (default: any)."""
+        pred = antimonotonic(test, reach, sees)
+        return self.fold(pred, **folds, **how) if folds else self.on(pred, names=names, **how)

@@ -26,7 +26,7 @@ def _parts(spark, d) -> OrderedFrame:
 def _points(name: str, test: str, *preds: K.Pred):
     def f(spark, d):
         us = _parts(spark, d)
-        return us.join(us).on(*preds, names=("p_partkey",), by=("p_brand",)).select("p_partkey", F.size("matches").cast("long").alias("n"), F.get("matches", F.lit(0))["p_partkey"].alias("first"))
+        return us.join(us).fold(*preds, by=("p_brand",), n=A.tally(), first=A.least("p_partkey")).select("p_partkey", "n", "first")
 
     query(name, f"select u.p_partkey, count(v.p_partkey) as n, min(v.p_partkey) as first from part u left join part v on v.p_brand = u.p_brand and {test} group by 1", view=False)(f)
 
