@@ -72,7 +72,7 @@ def _interval_keys(spark, d):
 
 def _counts(name: str, test: str, *preds: K.Pred):
     def f(spark, d):
-        return J.grouped(_track(spark, d, "purchase").select("chrom", "start", "end", "id"), _track(spark, d, "error"), *preds, aggs={"n": A.count("_hit")})
+        return J.folded(_track(spark, d, "purchase").select("chrom", "start", "end", "id"), _track(spark, d, "error"), *preds, folds={"n": A.tally()})
 
     query(name, f"""select u.chrom, u.start, u."end", u.id, count(v.id) as n from iv u left join iv v on v.sid = 'error' and {_SAME} and {test} where u.sid = 'purchase' group by all""")(f)
 
