@@ -45,8 +45,7 @@ _points("points_ratio", "greatest(v.p_size, u.p_size) < least(v.p_size, u.p_size
 def _strings(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_type", "p_brand")
     us, vs = (OrderedFrame(x, ("p_type",)) for x in (p, p.where("p_partkey % 2 = 0")))
-    out = us.join(vs).on(K.EQ, K.szpercent(1.5, F.length), names=("p_partkey",), where=lambda: F.col("p_brand") != F.col("r_p_brand"))
-    return out.select("p_partkey", F.size("matches").cast("long").alias("n"))
+    return us.join(vs).fold(K.EQ, K.szpercent(1.5, F.length), where=lambda: F.col("p_brand") != F.col("r_p_brand"), sees=("p_brand",), n=A.tally()).select("p_partkey", "n")
 
 
 @query("join_first_n", """select p_partkey, m from (select u.p_partkey, v.p_partkey as m, row_number() over (partition by u.p_partkey order by v.p_partkey) as k from part u join part v on v.p_brand = u.p_brand and abs(v.p_size - u.p_size) <= 2) where k <= 3""", view=False)
