@@ -57,7 +57,7 @@ def _first(spark, d):
 @query("join_using", """select u.p_partkey, count(v.p_partkey) as n from part u left join part v on v.p_brand = u.p_brand and v.p_size * 2 >= u.p_size and v.p_size <= u.p_size group by 1""", view=False)
 def _using(spark, d):
     us = _parts(spark, d)
-    return us.join(us).using(lambda v, u: (v.start * 2 >= u.start) & (v.start <= u.start), ("p_partkey",), by=("p_brand",)).select("p_partkey", F.size("matches").cast("long").alias("n"))
+    return us.join(us).using(lambda v, u: (v.start * 2 >= u.start) & (v.start <= u.start), sees=(), folds={"n": A.tally()}, by=("p_brand",)).select("p_partkey", "n")
 
 
 @query("interval_keys", f"""select u.id, count(v.id) as n from iv u left join iv v on v.sid = 'error' and {_OVER} where u.sid = 'purchase' group by 1""")
