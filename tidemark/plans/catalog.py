@@ -332,8 +332,8 @@ def _cover_s(spark, d):
 def _competitors(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice", "p_type")
     us = OrderedFrame(p, ("p_retailprice",))
-    out = us.join(us).on(K.dleq(1), names=("p_partkey",), where=lambda: F.col("p_brand") != F.col("r_p_brand"), by=("p_type",))
-    return out.select("p_partkey", F.size("matches").cast("long").alias("n"), F.get("matches", F.lit(0))["p_partkey"].alias("first"))
+    out = us.join(us).fold(K.dleq(1), where=lambda: F.col("p_brand") != F.col("r_p_brand"), sees=("p_brand",), by=("p_type",), n=A.tally(), first=A.least("p_partkey"))
+    return out.select("p_partkey", "n", "first")
 
 
 @query("size_percent", """select a.s_suppkey, b.s_suppkey as r_s_suppkey from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_acctbal > 0 and b.s_acctbal > 0 and greatest(a.s_acctbal, b.s_acctbal) < least(a.s_acctbal, b.s_acctbal) * cast(1.2 as double)""", view=False)
