@@ -345,9 +345,8 @@ def _size_percent(spark, d):
 @query("star_join", f"""select u.id, (select count(*) from iv v where v.sid = 'error' and {_OVER}) as errors, (select count(*) from iv v where v.sid = 'view' and {_SAME} and {_GAP} <= 10) as views from iv u where u.sid = 'purchase'""")
 def _star(spark, d):
     us = _track(spark, d, "purchase").select("chrom", "start", "end", "id")
-    near = lambda sid, p: J.matches(us, _track(spark, d, sid), p, names=("id",))
-    out = J.star(us, ("id",), errors=near("error", K.overlap(1)), views=near("view", K.near(10)))
-    return out.select("id", F.size("errors").cast("long").alias("errors"), F.size("views").cast("long").alias("views"))
+    near = lambda sid, p: J.folded(us, _track(spark, d, sid), p, folds={"n": A.tally()})
+    return J.star(us, ("id",), errors=near("error", K.overlap(1)), views=near("view", K.near(10))).select("id", "errors", "views")
 
 
 @query("anti_join", f"""select u.id from iv u where u.sid = 'purchase' and not exists (select 1 from iv v where v.sid = 'error' and {_SAME} and {_GAP} <= 30)""")

@@ -63,7 +63,7 @@ def _using(spark, d):
 @query("interval_keys", f"""select u.id, count(v.id) as n from iv u left join iv v on v.sid = 'error' and {_OVER} where u.sid = 'purchase' group by 1""")
 def _interval_keys(spark, d):
     us, vs = (OrderedFrame(_track(spark, d, s).select("chrom", "start", "end", "id"), ("start", "end")) for s in ("purchase", "error"))
-    return us.join(vs).on(K.overlap(1), names=("id",), by=("chrom",)).select("id", F.size("matches").cast("long").alias("n"))
+    return us.join(vs).fold(K.overlap(1), by=("chrom",), n=A.tally()).select("id", "n")
 
 
 # Loci.
