@@ -36,7 +36,12 @@ STRETCH = 0.05
 
 
 def with_fdr(calls: DataFrame) -> DataFrame:
-    """calls and fdr, qval. Cumulated over distinct confidences, in stretches, so no task holds all of them."""
+    """calls and fdr, qval. Cumulated over distinct confidences, in stretches, so no task holds all of them.
+
+    Calls are written first: their sums depend on the order in which rows come, and a confidence that is found twice
+    may differ in its last digit, so it would meet none.
+    """
+    calls = cut_lineage(calls)
     per = calls.groupBy("conf").agg(F.sum((F.col("label") == -1).cast("long")).alias("d"), F.sum((F.col("label") == 1).cast("long")).alias("t"))
     per = running(per.withColumn("_down", -F.col("conf")), [], "_down", [], {"decoys": F.col("d"), "targets": F.col("t")}, STRETCH)
     per = per.select("conf", ((1.0 + F.col("decoys")) / (1.0 + F.col("targets"))).alias("fdr"))
