@@ -39,9 +39,9 @@ class Order:
 
 @dataclass(frozen=True)
 class Span:
-    """The predicate holds just if v starts no later than gap after u's end, ends no sooner than gap before u's start, and both are so long at least."""
+    """The predicate holds just if v starts no later than gap after u's end, ends no sooner than gap before u's start, and both are so long at least. gap: a number, or of each row u its own."""
 
-    gap: float
+    gap: float | Callable[[Side], Column]
     length: float | None = None
 
 

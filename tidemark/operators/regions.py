@@ -183,16 +183,15 @@ def join_r(us: DataFrame, vs: DataFrame, *preds: Pred, by: By = (), output: Outp
 
 def inner_nearest_r(us: DataFrame, vs: DataFrame, *preds: Pred, n: int = 1, by: By = (), ties: bool = False, include_overlap: bool = False, output: Output | None = None, ordering: Callable[[DataFrame], DataFrame] = none) -> DataFrame:
     """Of the pairs that fit all preds, the n nearest of each row of us."""
-    found = joins.nearest_of(joins.pairs(joins.counted(us), vs, *preds, same_strand(), by=by), us.columns, n, vs.columns, ties, include_overlap)
-    return _put(joins.repeated(found), us, vs, by, output or both(), ordering)
+    return _put(joins.closest(us, vs, *preds, n=n, by=by, ties=ties, include_overlap=include_overlap), us, vs, by, output or both(), ordering)
 
 
 def outer_nearest_r(us: DataFrame, vs: DataFrame, drive: Pred, *screens: Pred, n: int = 1, by: By = (), ties: bool = False, include_overlap: bool = False, output: Output | None = None, ordering: Callable[[DataFrame], DataFrame] = none) -> DataFrame:
     """The n nearest of each row of us among those that fit drive; of them, those that fit screens."""
-    found = joins.nearest_of(joins.pairs(joins.counted(us), vs, drive, same_strand(), by=by), us.columns, n, vs.columns, ties, include_overlap)
+    found = joins.closest(us, vs, drive, n=n, by=by, ties=ties, include_overlap=include_overlap)
     for s in screens:
         found = found.where(s(joins.side(joins.RIGHT), joins.side()))
-    return _put(joins.repeated(found), us, vs, by, output or both(), ordering)
+    return _put(found, us, vs, by, output or both(), ordering)
 
 
 def nearest_r(us: DataFrame, vs: DataFrame, n: int = 1, by: By = (), output: Output | None = None, how: Callable = joins.nearest) -> DataFrame:

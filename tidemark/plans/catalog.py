@@ -170,7 +170,7 @@ def _downstream(spark, d):
 
 
 def _screened(f):
-    return lambda spark, d: f(_track(spark, d, "purchase"), _track(spark, d, "view"), K.near(80), K.general(lambda v, u: v.col("score") > u.col("score")), n=1).select("id", "r_id")
+    return lambda spark, d: f(_track(spark, d, "purchase"), _track(spark, d, "view"), K.near(80), K.general(lambda v, u: v.col("score") > u.col("score"), sees=("score",)), n=1).select("id", "r_id")
 
 
 _NEAR80 = f"{_SAME} and {_STRAND} and {_GAP} <= 80 and {_GAP} > 0 and u.sid = 'purchase' and v.sid = 'view'"

@@ -210,8 +210,8 @@ def _aggregates_more(spark, d):
 @query("grouped_extremes", f"""select u.id, min(v.score) as least, count(*) filter (v.score = m.s) as n from iv u join (select u.id, min(v.score) as s from iv u join iv v on v.sid = 'view' and {_OVER} where u.sid = 'error' group by 1) m using (id)
   join iv v on v.sid = 'view' and {_OVER} where u.sid = 'error' group by 1""")
 def _grouped_extremes(spark, d):
-    out = J.grouped(_track(spark, d, "error").select("chrom", "start", "end", "id"), _track(spark, d, "view"), K.overlap(1), aggs={"m": A.minimize("score", "id")}, having=F.count("r__hit") > 0)
-    return out.select("id", F.col("m.value").alias("least"), F.size("m.rows").cast("long").alias("n"))
+    out = J.extremes(_track(spark, d, "error").select("chrom", "start", "end", "id"), _track(spark, d, "view"), K.overlap(1), x="score", folds={"n": A.tally()}, into="least")
+    return out.select("id", "least", "n")
 
 
 @query("scalar_functions", """select p_partkey, 'A' || p_partkey as bare, case when p_partkey % 2 = 0 then 'P' || p_partkey else 'Q' end as uniprot, split_part(p_name, ' ', 1) as protein, length(p_name) as len, case when p_brand = 'Brand#11' then -1 else 1 end as label,
